@@ -1,0 +1 @@
+"""LedgerLens streaming."""
