@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import components, heavy, quantiles, sampling
+from ledgerlens.llm import bpe, clusters, components, heavy, leaks, quality, quantiles, sampling
 from ledgerlens.operators.packed import explode_packed
 from ledgerlens.sources.tables import Stage, read_table
 
@@ -15,6 +15,28 @@ ADDRESS_FIELDS = ["input_addresses", "output_addresses"]
 HEAVY_SHARE = 0.006
 
 
+def _clusters(spark: SparkSession, d: str) -> clusters.Clusters:
+    fee, out, ratio = F.col("fee"), F.col("total_output_value"), F.col("value_concentration_ratio")
+    valid = (fee > 0) & ~F.isnan(fee) & (out > 0) & ~F.isnan(out) & ~F.isnan(ratio) & ratio.between(0, 1)
+    points = read_table(spark, d, "dataset").where(valid).select(F.col("txid").alias("id"), F.log10(fee).alias("x"), F.log10(out).alias("y"), ratio.alias("z"))
+    return clusters.Clusters(points, Stage(spark))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Probed pairs of different transactions that lie in one cluster."""
+    c = _clusters(spark, d)
+    member = c.stage.put(c.members(c.verified()).select("id", "cluster_id"))
+    probes = read_table(spark, d, "probe_pairs").select(F.least("txid_a", "txid_b").alias("txid_a"), F.greatest("txid_a", "txid_b").alias("txid_b"), (F.col("txid_a").isNotNull() & F.col("txid_b").isNotNull()).alias("ok")).where("ok and txid_a <> txid_b").select("txid_a", "txid_b").distinct()
+    a, b = member.select(F.col("id").alias("txid_a"), F.col("cluster_id").alias("ca")), member.select(F.col("id").alias("txid_b"), F.col("cluster_id").alias("cb"))
+    return probes.join(a, "txid_a").join(b, "txid_b").where("ca = cb").select("txid_a", "txid_b")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size, diameter and most typical transactions of every cluster."""
+    c = _clusters(spark, d)
+    return clusters.typical(c.stage.put(c.members(c.verified())))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Reported percentiles that are wrong by more than 4 points of rank."""
     return quantiles.wrong_claims(read_table(spark, d, "dataset"), read_table(spark, d, "percentile_reports"), "shard_id", PERCENTILE_FIELDS, Stage(spark))
@@ -66,7 +88,32 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return _heavy(spark, d).select("field_name", F.col("item").alias("address"), "n", "est", "total")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_column(read_table(spark, d, "documents"), "doc_id", "text", bpe.read_vocabulary(spark))
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Number of ids of every document, and whether decoding them gives the text again."""
+    return bpe.roundtrip(read_table(spark, d, "documents"), "doc_id", "text", bpe.read_vocabulary(spark))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return quality.text_statistics(read_table(spark, d, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    return quality.text_statistics(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
 
 _ITEMS = r"""
     SELECT field_name, unnest(list_filter(list_transform(tokens, lambda x: trim(CASE
@@ -97,6 +144,7 @@ SQL = {
     "p4_found": f"SELECT plan_id, stratum FROM ({_REQUIRED}) WHERE required > available",
     "p4_report": f"SELECT plan_id, stratum, required, available, least(required, available) AS drawn, required - least(required, available) AS short FROM ({_REQUIRED})",
     "p7_found": f"""
-    WITH i AS ({_ITEMS}) SELECT field_name, address FROM i GROUP BY ALL
-    HAVING count(*) >= 0.006 * (SELECT count(*) FROM i AS o WHERE o.field_name = i.field_name)""",
+    WITH i AS ({_ITEMS}), c AS (SELECT field_name, address, count(*) AS n FROM i GROUP BY field_name, address),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY field_name) AS total FROM c)
+    SELECT field_name, address FROM s WHERE n >= 0.006 * total""",
 }
