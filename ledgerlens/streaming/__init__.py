@@ -1 +1 @@
-"""LedgerLens streaming."""
+"""Empty on purpose: the surveyed pipeline has no streams, and no operator here needs one."""
