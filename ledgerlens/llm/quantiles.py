@@ -36,7 +36,7 @@ def decode(codes: np.ndarray) -> np.ndarray:
     """The middle of the codes' values."""
     c = np.asarray(codes, np.int64)
     low, high = (c << 39).view(np.float64), ((c + 1) << 39).view(np.float64)
-    return np.where(np.isfinite(high), low / 2 + high / 2, low)
+    return np.where(np.isfinite(high) & (c > 0), low / 2 + high / 2, low)
 
 
 class DyadicSketch:
@@ -104,6 +104,12 @@ class DyadicSketch:
                 total[left] += self.estimate(level, node[left] - 1)
         return np.where(codes >= 1 << BITS, self.n, np.clip(total, 0, self.n))
 
+    def rank_deviation(self) -> float:
+        """A standard deviation of rank() in rows, from the sketch itself: a row of a level errs by the root of its sum of squares
+        over the width, and at most one node a level is added up."""
+        rows = self.counters[2 * self.width - 2 :].astype(np.float64).reshape(BITS - self.exact, self.depth, self.width)
+        return float(np.sqrt(np.median((rows * rows).sum(axis=2), axis=1).sum() / self.width))
+
     def percentile(self, share: float) -> float:
         """The value at which the descent of the levels reaches ``share`` of the weight."""
         want, node = share * self.n, 0
@@ -200,12 +206,12 @@ def percentiles(sketches: DataFrame, group: str, shares: list[float], width: int
     return sketches.mapInPandas(read, f"`{group}` {kind}, field_name string, n bigint, pct double, value double")
 
 
-def wrong_claims(df: DataFrame, claims: DataFrame, group: str, fields: list[str], stage: Stage, tolerance: float = 4.0, width: int = 256, depth: int = 3, margin: float = 1.5) -> DataFrame:
+def wrong_claims(df: DataFrame, claims: DataFrame, group: str, fields: list[str], stage: Stage, tolerance: float = 4.0, width: int = 256, depth: int = 3, deviations: float = 6.0) -> DataFrame:
     """The rows of ``claims`` (report_id, group, field_name, pct_rank, claimed_value) that are wrong by more than
     ``tolerance`` points of rank.
 
-    The sketches decide every claim whose estimated ranks are more than ``margin`` points away from the
-    tolerance; the few others are counted exactly against the rows of their group. A claim without a value, rank,
+    The sketches decide every claim whose estimated ranks are further from the tolerance than ``deviations`` times the
+    sketch's own standard deviation; the few others are counted exactly against the rows of their group. A claim without a value, rank,
     or group with values has no case (it can't be wrong by any number of points) and isn't returned.
     """
     sketches = merge_sketches(build_sketches(df, group, fields, width, depth), group, width, depth)
@@ -218,6 +224,7 @@ def wrong_claims(df: DataFrame, claims: DataFrame, group: str, fields: list[str]
             for g, f, n, blob, p, v in zip(pdf[group], pdf["field_name"], pdf["n"], pdf["sketch"], pdf["pct_rank"], pdf["claimed_value"]):
                 if (g, f) != last:
                     last, s = (g, f), DyadicSketch.of(blob, width, depth)
+                    margin = 100.0 * deviations * s.rank_deviation() / n
                 code = encode(np.array([max(v, 0.0)]))[0]
                 below, upto = (100.0 * x / n for x in s.rank(np.array([code, code + 1])))
                 below, upto = (0.0, 0.0) if v < 0 else (below, max(below, upto))
