@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import finite
+from ledgerlens.operators.skew import column_quantiles
 
 #: Names and prefixes that tell a column's role.
 FLAG_PREFIXES = ("is_", "has_", "rbf_")
@@ -66,9 +67,11 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "q25": lambda c: F.percentile(c, 0.25), "q50": lambda c: F.percentile(c, 0.5), "q75": lambda c: F.percentile(c, 0.75), "max_value": F.max}
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
     row = df.agg(*[(f(F.col(c)) if s == "n" else F.round(f(F.col(c)), digits)).alias(f"{s}__{c}") for c in columns for s, f in stats.items()])
-    return unpivot(row, columns, {s: "bigint" if s == "n" else "double" for s in stats})
+    moments = unpivot(row, columns, {s: "bigint" if s == "n" else "double" for s in stats})
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75]).select(F.col("key_value").alias("column_name"), *[F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return moments.join(q, "column_name", "left")
 
 
 def skewness_top(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens.functions.columns import finite
+from ledgerlens.operators.skew import compress_values, interpolated, quantile_row
+from ledgerlens.sources.tables import Stage
 
 
 def anomaly_flag(df: DataFrame, score: str, share: float = 0.95) -> DataFrame:
     """Adds ``threshold`` and ``flag``: scores strictly above the exact quantile; null and NaN scores aren't flagged."""
-    limit = df.agg(F.percentile(finite(score), share).alias("threshold"))
+    limit = quantile_row(df.select(finite(score).alias("s")), ["s"], [share]).select(F.col("s")[0].alias("threshold"))
     return df.join(F.broadcast(limit), how="cross").withColumn("flag", F.coalesce((finite(score) > F.col("threshold")).cast("int"), F.lit(0)))
 
 
@@ -68,8 +70,8 @@ def density(df: DataFrame, value: str, group: str, bins: int, digits: int = 10)
 def box_stats(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """(group, n, q1, median, q3, low_whisker, high_whisker): whiskers are the outermost values within 1.5 ranges of the box."""
     v = df.where(F.col(group).isNotNull()).select(group, finite(value).alias("v")).where("v is not null")
-    q = v.groupBy(group).agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = interpolated(compress_values(v, F.col(group), F.col("v")), Stage(df.sparkSession), [0.25, 0.5, 0.75])
+    q = q.select(F.col("key_value").alias(group), F.col("n_rows").alias("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = v.join(q, group).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     w = inside.groupBy(group).agg(F.min("v").alias("low_whisker"), F.max("v").alias("high_whisker"))

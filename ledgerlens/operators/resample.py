@@ -27,11 +27,13 @@ def quota_sample(df: DataFrame, group: str, quota: Column | int, rid: str, seed:
     return out.drop("_h", "_q", "_s", "_r")
 
 
-def proportional_sample(df: DataFrame, group: str, share: float, rid: str, seed: int = 42, at_least: int = 2) -> DataFrame:
-    """max(int(share * n), at_least) rows of each group, all of a smaller one."""
+def proportional_sample(df: DataFrame, group: str, share: float, rid: str, seed: int = 42, at_least: int = 2, stage: Stage | None = None) -> DataFrame:
+    """max(int(share * n), at_least) rows of each group, all of a smaller one. Ranks come from range partitions, as a group's quota
+    grows with the table."""
+    stage = stage or Stage(df.sparkSession)
     sizes = df.groupBy(group).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(at_least)).alias("_quota")).withColumnRenamed(group, "_g")
-    joined = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    return quota_sample(joined, group, F.col("_quota"), rid, seed, salts=1024).drop("_quota")
+    ranked = numbered(df.withColumn("_h", hash_key(rid, seed)), ["_h", rid], stage, group=group, name="_rank")
+    return ranked.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_rank") < F.col("_quota")).drop("_g", "_h", "_rank", "_quota")
 
 
 def split_of(rid: str, parts: dict[str, float], seed: int = 42) -> Column:

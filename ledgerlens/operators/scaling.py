@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import log_amount
+from ledgerlens.operators.skew import quantile_row
 
 
 def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def _apply(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Median and interquartile range, exact. Spark's own scaler would map columns without range to 0 and uses approximate quantiles."""
-    q = (df if fit_on is None else fit_on).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns])
+    q = quantile_row(df if fit_on is None else fit_on, columns, [0.25, 0.5, 0.75])
     return _apply(df, columns, q.select(*[F.col(c)[1].alias(f"_c_{c}") for c in columns], *[(F.col(c)[2] - F.col(c)[0]).alias(f"_s_{c}") for c in columns]))
 
 

@@ -37,9 +37,9 @@ def top_record(compressed: DataFrame) -> DataFrame:
     return best.where(F.col("record_key").isNotNull())
 
 
-def key_profile(compressed: DataFrame, stage: Stage, percents: list[int]) -> DataFrame:
-    """(key_value, n_rows, n_distinct, mode_value, p<k>...): exact, percentiles as the smallest value whose
-    share of rows at or below it reaches k %."""
+def running_weights(compressed: DataFrame, stage: Stage) -> DataFrame:
+    """(key_value, measure, n, cum, total): the weight of a key's values up to each of them, and of all. Values are
+    range-partitioned, so a key with most of them is spread over tasks."""
     ranged = stage.put(
         compressed.select("key_value", "measure", "n").repartitionByRange("key_value", "measure").withColumn("part", F.spark_partition_id())
     )
@@ -48,10 +48,41 @@ def key_profile(compressed: DataFrame, stage: Stage, percents: list[int]) -> Dat
     sums = sums.withColumn("offset", F.sum("part_n").over(before) - F.col("part_n")).withColumn("total", F.sum("part_n").over(W.partitionBy("key_value")))
     running = W.partitionBy("part", "key_value").orderBy("measure")
     # the weights within a part, then those of the parts before it
-    placed = ranged.withColumn("cum_in", F.sum("n").over(running)).join(sums, ["key_value", "part"]).withColumn("cum", F.col("cum_in") + F.col("offset"))
-    return placed.groupBy("key_value").agg(
+    placed = ranged.withColumn("cum_in", F.sum("n").over(running)).join(sums, ["key_value", "part"])
+    return placed.select("key_value", "measure", "n", (F.col("cum_in") + F.col("offset")).alias("cum"), "total")
+
+
+def key_profile(compressed: DataFrame, stage: Stage, percents: list[int]) -> DataFrame:
+    """(key_value, n_rows, n_distinct, mode_value, p<k>...): exact, percentiles as the smallest value whose
+    share of rows at or below it reaches k %."""
+    return running_weights(compressed, stage).groupBy("key_value").agg(
         F.max("total").alias("n_rows"),
         F.count("*").alias("n_distinct"),
         F.max_by("measure", F.struct("n", -F.col("measure"))).alias("mode_value"),
         *[F.min(F.when(F.col("cum") * 100 >= F.col("total") * p, F.col("measure"))).alias(f"p{p}") for p in percents],
     )
+
+
+def interpolated(compressed: DataFrame, stage: Stage, shares: list[float]) -> DataFrame:
+    """(key_value, n_rows, q array<double>): exact quantiles with linear interpolation between ranks. Unlike an aggregate that
+    collects a key's values, no task holds more than its range of them."""
+    w = running_weights(compressed, stage)
+    ends = []
+    for p in shares:
+        h = (F.col("total") - 1) * F.lit(float(p))
+        ends += [F.min(F.when(F.col("cum") - 1 >= f(h), F.col("measure"))) for f in (F.floor, F.ceil)]
+    out = w.groupBy("key_value").agg(F.max("total").alias("n_rows"), *[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    h = lambda p: (F.col("n_rows") - 1) * F.lit(float(p))
+    return out.select("key_value", "n_rows", F.array(*[F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (h(p) - F.floor(h(p))) for i, p in enumerate(shares)]).alias("q"))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float], stage: Stage | None = None) -> DataFrame:
+    """(key_value, n_rows, q): the same for whole columns; the key is the column's name. Columns without values have no row."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r"))
+    return interpolated(compress_values(long, F.col("r.k"), F.col("r.v")), stage or Stage(df.sparkSession), shares)
+
+
+def quantile_row(df: DataFrame, columns: list[str], shares: list[float], stage: Stage | None = None) -> DataFrame:
+    """One row with an array column per column; null for a column without values."""
+    q = column_quantiles(df, columns, shares, stage)
+    return q.agg(*[F.max(F.when(F.col("key_value") == c, F.col("q"))).alias(c) for c in columns])

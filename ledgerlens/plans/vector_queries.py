@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph, kmeans, linalg, metrics, mixture, resample, rules
+from ledgerlens.operators.skew import quantile_row
 from ledgerlens.operators.neighbours import k_nearest, reference_matrix
 from ledgerlens.plans.transactions import FLAGS, transactions
 from ledgerlens.sources.tables import Stage, read_table
@@ -186,7 +187,7 @@ def confidence_weights(spark, d):
     names, centres = kmeans.centre_matrix(v, "label")
     far = F.array(*[F.sqrt(F.aggregate(F.zip_with("embedding", F.lit(c.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)) for c in centres])
     m = v.select("vec_id", F.array_sort(far).alias("q")).select("vec_id", ((F.col("q")[1] - F.col("q")[0]) / F.greatest(F.col("q")[1], F.lit(1e-6))).alias("m"))
-    p = m.agg(F.percentile("m", 0.3).alias("f"), F.max("m").alias("t"))
+    p = quantile_row(m, ["m"], [0.3, 1.0]).select(F.col("m")[0].alias("f"), F.col("m")[1].alias("t"))
     c = F.least(F.greatest((F.col("m") - F.col("f")) / F.greatest(F.col("t") - F.col("f"), F.lit(1e-12)), F.lit(0.0)), F.lit(1.0)) + 0.05
     return m.join(F.broadcast(p), how="cross").select("vec_id", F.round("m", 6).alias("margin"), F.round(c, 6).alias("confidence"))
 

@@ -45,3 +45,19 @@ def test_numbers_are_dense_within_groups(spark, stage):
     for g in ("a", "b", None):
         own = sorted((r["rank"], r.x) for r in got if r.g == g)
         assert [r for r, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_interpolated_quantiles(spark, stage, seed):
+    import numpy as np
+
+    from ledgerlens.operators.skew import column_quantiles, quantile_row
+
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 7, 333).astype(float), rng.normal(size=333)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)] + [(float("nan"), None, None)], "x double, y double, z double")
+    shares = [0.0, 0.025, 0.25, 0.5, 0.95, 1.0]
+    got = {r.key_value: r.q for r in column_quantiles(df, ["x", "y", "z"], shares, stage).collect()}
+    assert set(got) == {"x", "y"}
+    assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile(y, shares))
+    assert quantile_row(df, ["z"], [0.5], stage).collect()[0].z is None
