@@ -36,7 +36,7 @@ def assign(df: DataFrame, centres: np.ndarray, key: str = "vec_id", vector: str
                 d = distances(np.stack(pdf[vector].to_numpy()).astype(np.float64), shared.value)
                 yield pd.DataFrame({key: pdf[key], "cluster": d.argmin(axis=1).astype(np.int32), "dist": d.min(axis=1)})
 
-    return df.select(key, vector).mapInPandas(nearest, f"{key} bigint, cluster int, dist double")
+    return df.select(key, vector).mapInPandas(nearest, f"{key} {df.schema[key].dataType.simpleString()}, cluster int, dist double")
 
 
 def step(df: DataFrame, centres: np.ndarray, vector: str = "embedding") -> tuple[np.ndarray, float]:

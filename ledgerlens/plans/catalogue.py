@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import problems, tables_queries, vector_queries
+from ledgerlens.plans import pipeline, problems, tables_queries, vector_queries
 
-QUERIES = {**tables_queries.QUERIES, **vector_queries.QUERIES, **problems.QUERIES}
+QUERIES = {**tables_queries.QUERIES, **vector_queries.QUERIES, **pipeline.QUERIES, **problems.QUERIES}
 SQL = {**tables_queries.SQL, **vector_queries.SQL, **problems.SQL}

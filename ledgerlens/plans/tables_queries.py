@@ -413,3 +413,39 @@ def label_join(spark, d):
     labels = read_table(spark, d, "results_labeled").where("txid is not null").select("txid", "tx_profile").distinct()
     rows = read_table(spark, d, "dataset").groupBy("txid").agg(F.count("*").alias("deliveries"))
     return labels.join(rows, "txid")
+
+
+@query(f"""WITH {_VALUES}, u AS (UNPIVOT c ON silhouette, davies_bouldin, calinski_harabasz INTO NAME metric VALUE v)
+    SELECT metric, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n, *_ in _CANDIDATES)} FROM u GROUP BY metric""")
+def metrics_pivot(spark, d):
+    """Metrics as rows and methods as columns."""
+    long = _candidates(spark).unpivot("name", list(compare.METRICS), "metric", "v")
+    return long.groupBy("metric").pivot("name", [n for n, *_ in _CANDIDATES]).agg(F.max("v"))
+
+
+@query(f"WITH {_VALUES} SELECT CASE name WHEN 'plain' THEN 'A_plain' WHEN 'elkan' THEN 'B_elkan' ELSE name END AS condition, round(silhouette - lag(silhouette) OVER (ORDER BY name), 6) AS silhouette_delta, round((silhouette - lag(silhouette) OVER (ORDER BY name)) / abs(lag(silhouette) OVER (ORDER BY name)) * 100, 6) AS pct FROM c")
+def component_deltas(spark, d):
+    """Change of a metric from one condition to the next, after renaming."""
+    from pyspark.sql import Window as W
+
+    before = F.lag("silhouette").over(W.partitionBy(F.lit(0)).orderBy("name"))
+    rows = _candidates(spark).select("name", F.round(F.col("silhouette") - before, 6).alias("silhouette_delta"), F.round((F.col("silhouette") - before) / F.abs(before) * 100, 6).alias("pct"))
+    return rows.replace({"plain": "A_plain", "elkan": "B_elkan"}, subset=["name"]).withColumnRenamed("name", "condition")
+
+
+@query("SELECT DISTINCT tx_profile FROM results_labeled WHERE tx_profile IS NOT NULL UNION SELECT DISTINCT tx_profile FROM profile_statistics WHERE tx_profile IS NOT NULL")
+def distinct_profiles(spark, d):
+    parts = [read_table(spark, d, t).select("tx_profile").where("tx_profile is not null") for t in ("results_labeled", "profile_statistics")]
+    return parts[0].union(parts[1]).distinct()
+
+
+@query("SELECT count(DISTINCT txid) AS n_txids, count(DISTINCT tx_profile) AS n_profiles, count(DISTINCT cluster_id) AS n_clusters FROM results_labeled")
+def distinct_counts(spark, d):
+    return read_table(spark, d, "results_labeled").agg(F.countDistinct("txid").alias("n_txids"), F.countDistinct("tx_profile").alias("n_profiles"), F.countDistinct("cluster_id").alias("n_clusters"))
+
+
+@query("WITH top AS (SELECT tx_profile FROM results_labeled WHERE tx_profile IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, tx_profile LIMIT 15) SELECT count(*) AS n, min(block_height) AS min_height, max(block_height) AS max_height FROM results_labeled WHERE tx_profile IN (SELECT tx_profile FROM top) AND is_anomaly = 1")
+def anomalies_of_top_profiles(spark, d):
+    df = read_table(spark, d, "results_labeled")
+    top = report.top_groups(df, "tx_profile", 15)
+    return df.where("is_anomaly = 1").join(F.broadcast(top), "tx_profile", "left_semi").agg(F.count("*").alias("n"), F.min("block_height").alias("min_height"), F.max("block_height").alias("max_height"))
