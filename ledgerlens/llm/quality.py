@@ -173,7 +173,9 @@ def judge(s: dict[str, float]) -> str | None:
     """prose, list, table or junk; None for a text without visible characters."""
     if not s["n_chars"]:
         return None
-    if s["broken_share"] > 0.04 or s["markup_share"] > 0.3 or (s["n_words"] >= 60 and s["distinct_share"] < 0.1):
+    # few words over and over; a long text has a small share of distinct words as well, but many of them
+    repeated = s["n_words"] >= 60 and s["distinct_share"] < 0.1 and s["distinct_share"] * s["n_words"] <= 100
+    if s["broken_share"] > 0.04 or s["markup_share"] > 0.3 or s["symbol_share"] > 0.8 or repeated:
         return "junk"
     listed = s["entry_lines"] >= 5 and s["entry_lines"] >= 2 * s["sentence_lines"]  # a long passage among entries
     if s["sentence_share"] >= (0.8 if listed else 0.5) and (s["common_share"] >= 0.12 or s["wide_share"] > 0.3):

@@ -100,6 +100,15 @@ def test_kinds(kind):
     assert quality.judge(quality.finish(quality.chunk_state(TEXTS[kind]))) == kind
 
 
+def test_noise_with_separators_is_junk_and_long_prose_is_not():
+    noise = "\n".join("█|░ ▒|▓ =|#  <|>" for _ in range(20))
+    assert quality.judge(quality.finish(quality.chunk_state(noise))) == "junk"
+    rng = random.Random(1)
+    names = [f"name{i}" for i in range(400)]
+    long = "\n".join(f"The {rng.choice(names)} was in the {rng.choice(names)} of a {rng.choice(names)}, and it is not what we had." for _ in range(1500))
+    assert quality.judge(quality.finish(quality.chunk_state(long))) == "prose"
+
+
 def test_merging_is_associative_and_equals_the_whole():
     rng = random.Random(4)
     for text in TEXTS.values():
