@@ -3,7 +3,8 @@
 Texts are cut into chunks (at a place that splits no word of ordinary length), each chunk gives counts, and the counts
 of a text's chunks are merged in order. A chunk's state is a monoid: the sums over its complete lines, and the counts of
 the unfinished lines at its two ends; merging joins one's last line to the other's first. Only when a line is complete is it
-taken for a sentence line, a row, an entry or something else. Distinct words are counted in a bit map that merges by OR.
+taken for a sentence line, a row, an entry or something else. Distinct words, and distinct pairs of ideographs, kana or hangul (which
+have no blanks between words), are counted in a bit map each; they merge by OR.
 
 Every line is judged by its words, common words of several languages, cell separators and digits:
 - a sentence line has 5 words or more (8 after a list mark), at least 12 % of them common words, or 6 ideographs or kana;
@@ -40,7 +41,7 @@ _WORD = re.compile(r"\w+(?:[-'’/]\w+)*")
 _CELL = re.compile(r'\t|[|│]|;\s?|,\s?|\s{2,}|" "')
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-z]{2,8};|\{[^{}\n]{0,200}\}")
 _BROKEN = re.compile(r"[\x80-\x9f�]|[ÃÂÐÑâæåèéäçï][\x80-\xbf]")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_WIDE_RUN = re.compile(r"[぀-ヿ㐀-鿿가-힯]+")
 _MARK = re.compile(r"\s*([-*+•·–▪‣◦]|\[[ xX]\]|\(?\w{1,2}[.)])\s")
 _BREAK = re.compile(r"[\r\n\v\f\x85  ]")
 _BLANK = re.compile(r"\s+")
@@ -54,12 +55,15 @@ TEXT = (*LINE, "lines", "sentence_lines", "row_lines", "entry_lines", "sentence_
 _AT = {k: i for i, k in enumerate(TEXT)}
 
 
-def _line(text: str, start: bool, seen: set[str]) -> list[int]:
+def _line(text: str, start: bool, seen: set[str], pairs: set[str]) -> list[int]:
     """The counts of a line, or of a part of it; only a part from the line's start can have a list mark."""
     mark = _MARK.match(text) if start else None
     found = _WORD.findall((text[mark.end() :] if mark else text).lower())
     seen.update(found)
     bare = text.strip()
+    wide = _WIDE_RUN.findall(text)
+    for run in wide:
+        pairs.update(map("".join, zip(run, run[1:])) if len(run) > 1 else run)
     return [
         len(_BLANK.sub("", text)),
         len(found),
@@ -67,7 +71,7 @@ def _line(text: str, start: bool, seen: set[str]) -> list[int]:
         sum(w in _COMMON for w in found),
         sum(map(str.isalnum, text)),
         sum(map(str.isdigit, text)),
-        len(_WIDE.findall(text)),
+        sum(map(len, wide)),
         sum(map(len, _MARKUP.findall(text))),
         sum(map(len, _BROKEN.findall(text))),
         sum(len(w) for w in found if len(w) >= 24),
@@ -107,28 +111,30 @@ def _close(total: list[int], line: list[int]) -> None:
 
 
 def chunk_state(text: str) -> tuple[list[int], list[int], list[int], bool, bytes]:
-    """(sums of the complete lines, first line, last line, whether there is a line break, bit map of words).
+    """(sums of the complete lines, first line, last line, whether there is a line break, bit maps of words and wide pairs).
 
     Without a line break all counts are in the first line.
     """
-    total, seen = [0] * len(TEXT), set()
+    total, seen, pairs = [0] * len(TEXT), set(), set()
     lines = _BREAK.split(text)
     # the first line may go on from another chunk; whether it starts here is known at the merge, a mark is kept in any case
-    first = _line(lines[0], True, seen)
-    last = _line(lines[-1], True, seen) if len(lines) > 1 else [0] * len(LINE)
+    first = _line(lines[0], True, seen, pairs)
+    last = _line(lines[-1], True, seen, pairs) if len(lines) > 1 else [0] * len(LINE)
     for line in lines[1:-1]:
         if line:
-            _close(total, _line(line, True, seen))
+            _close(total, _line(line, True, seen, pairs))
     bits = 0
     for w in seen:
         bits |= 1 << (zlib.crc32(w.encode("utf-8", "replace")) % BITS)
-    return total, first, last, len(lines) > 1, bits.to_bytes(BITS // 8, "little")
+    for w in pairs:
+        bits |= 1 << (BITS + zlib.crc32(w.encode("utf-8", "replace")) % BITS)
+    return total, first, last, len(lines) > 1, bits.to_bytes(BITS // 4, "little")
 
 
 def merge_states(a, b):
     """The state of two adjacent chunks. Associative."""
     total = [x + y for x, y in zip(a[0], b[0])]
-    bits = (int.from_bytes(a[4], "little") | int.from_bytes(b[4], "little")).to_bytes(BITS // 8, "little")
+    bits = (int.from_bytes(a[4], "little") | int.from_bytes(b[4], "little")).to_bytes(BITS // 4, "little")
     if a[3] and b[3]:
         _close(total, _join(a[2], b[1]))
         return total, a[1], b[2], True, bits
@@ -143,8 +149,8 @@ def finish(state) -> dict[str, float]:
     _close(total, state[1])
     _close(total, state[2])
     t = dict(zip(TEXT, total))
-    used = int.from_bytes(state[4], "little").bit_count()
-    distinct = BITS * math.log(BITS / max(1, BITS - used))
+    half = BITS // 8
+    distinct, pairs = (BITS * math.log(BITS / max(1, BITS - int.from_bytes(b, "little").bit_count())) for b in (state[4][:half], state[4][half:]))
     w, c, n = max(1, t["words"]), max(1, t["chars"]), max(1, t["lines"])
     return {
         "n_words": t["words"],
@@ -156,6 +162,7 @@ def finish(state) -> dict[str, float]:
         "stop_line_share": t["stop"] / n,
         "common_share": t["common"] / w,
         "distinct_share": min(1.0, distinct / w),
+        "distinct_pairs": round(pairs, 1),
         "wide_share": t["wide"] / c,
         "markup_share": t["markup"] / c,
         "broken_share": t["broken"] / c,
@@ -169,12 +176,17 @@ def finish(state) -> dict[str, float]:
     }
 
 
+def _repeated(n: float, distinct: float) -> bool:
+    """Few words (or pairs of characters) over and over: at most a tenth are distinct, or in a short text fewer than its root, which ordinary
+    text has by far. A long text has a small share of distinct words as well, but many of them."""
+    return 0.5 < distinct <= min(100, max(0.1 * n, math.sqrt(n) - 1) + 0.1)
+
+
 def judge(s: dict[str, float]) -> str | None:
     """prose, list, table or junk; None for a text without visible characters."""
     if not s["n_chars"]:
         return None
-    # few words over and over; a long text has a small share of distinct words as well, but many of them
-    repeated = s["n_words"] >= 60 and s["distinct_share"] < 0.1 and s["distinct_share"] * s["n_words"] <= 100
+    repeated = _repeated(s["n_words"], s["distinct_share"] * s["n_words"]) or (s["wide_share"] > 0.5 and _repeated(s["wide_share"] * s["n_chars"], s["distinct_pairs"]))
     if s["broken_share"] > 0.04 or s["markup_share"] > 0.3 or s["symbol_share"] > 0.8 or repeated:
         return "junk"
     listed = s["entry_lines"] >= 5 and s["entry_lines"] >= 2 * s["sentence_lines"]  # a long passage among entries
@@ -189,7 +201,7 @@ def judge(s: dict[str, float]) -> str | None:
     return "list" if s["entry_share"] + s["row_share"] + (s["sentence_share"] if listed else 0) >= 0.5 else "junk"
 
 
-STATS_SCHEMA = "n_words bigint, n_lines bigint, n_chars bigint, mean_word_length double, symbol_share double, digit_share double, stop_line_share double, common_share double, distinct_share double, wide_share double, markup_share double, broken_share double, long_share double, sentence_share double, row_share double, entry_share double, sentence_lines bigint, row_lines bigint, entry_lines bigint"
+STATS_SCHEMA = "n_words bigint, n_lines bigint, n_chars bigint, mean_word_length double, symbol_share double, digit_share double, stop_line_share double, common_share double, distinct_share double, distinct_pairs double, wide_share double, markup_share double, broken_share double, long_share double, sentence_share double, row_share double, entry_share double, sentence_lines bigint, row_lines bigint, entry_lines bigint"
 _STATE = "total array<bigint>, first array<bigint>, last array<bigint>, broken boolean, bits binary"
 
 

@@ -109,6 +109,16 @@ def test_noise_with_separators_is_junk_and_long_prose_is_not():
     assert quality.judge(quality.finish(quality.chunk_state(long))) == "prose"
 
 
+@pytest.mark.parametrize("text", ["copy of " * 28 + "copy", "and so on " * 8, "no no no no no no", "复制粘贴" * 12, "같은말" * 20])
+def test_short_repetition_is_junk(text):
+    assert quality.judge(quality.finish(quality.chunk_state(text))) == "junk"
+
+
+@pytest.mark.parametrize("text", ["We had a look at it and it is what it was.", "这笔交易的费用很高，我们还不知道原因，明天再看一次。", "The fee of the fee is the fee that we had, and so it was."])
+def test_short_sentences_are_prose(text):
+    assert quality.judge(quality.finish(quality.chunk_state(text))) == "prose"
+
+
 def test_merging_is_associative_and_equals_the_whole():
     rng = random.Random(4)
     for text in TEXTS.values():
