@@ -172,11 +172,14 @@ def digamma(x: np.ndarray) -> np.ndarray:
 def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
     """Mutual information of two numeric samples by k-nearest neighbours in the joint space (maximum norm)."""
     n = len(x)
-    dx, dy = np.abs(x[:, None] - x[None, :]), np.abs(y[:, None] - y[None, :])
-    joint = np.maximum(dx, dy)
-    np.fill_diagonal(joint, np.inf)
-    r = np.nextafter(np.partition(joint, k - 1, axis=1)[:, k - 1], 0)
-    nx, ny = (dx <= r[:, None]).sum(1), (dy <= r[:, None]).sum(1)
+    nx, ny = np.zeros(n), np.zeros(n)
+    for i in range(0, n, 500):  # blocks of rows: memory is O(n)
+        at = np.arange(i, min(i + 500, n))
+        dx, dy = np.abs(x[at, None] - x[None, :]), np.abs(y[at, None] - y[None, :])
+        joint = np.maximum(dx, dy)
+        joint[at - i, at] = np.inf
+        r = np.nextafter(np.partition(joint, k - 1, axis=1)[:, k - 1], 0)
+        nx[at], ny[at] = (dx <= r[:, None]).sum(1), (dy <= r[:, None]).sum(1)
     return max(0.0, float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - digamma(nx).mean() - digamma(ny).mean()))
 
 

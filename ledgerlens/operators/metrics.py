@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens.operators.kmeans import centroids
-from ledgerlens.operators.neighbours import mean_distances
+from ledgerlens.operators.neighbours import MAX_REFERENCE, mean_distances
 
 
-def silhouette(df: DataFrame, label: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def silhouette(df: DataFrame, label: str, key: str = "vec_id", vector: str = "embedding", limit: int = MAX_REFERENCE) -> DataFrame:
     """(silhouette): plain Euclidean, of a bounded sample; members of singletons count 0."""
-    means = mean_distances(df, label, key, vector)
+    means = mean_distances(df, label, key, vector, limit)
     per = means.groupBy(key).agg(
         F.max(F.when(F.col("own") == F.col("other"), F.col("members"))).alias("size"),
         F.max(F.when((F.col("own") == F.col("other")) & (F.col("members") > 1), F.col("total") / (F.col("members") - 1))).alias("a"),

@@ -1,18 +1,22 @@
-"""Nearest neighbours of vectors against a bounded reference set.
+"""Nearest neighbours of vectors, and distances within a sample.
 
-The reference set (a fitting sample, anchors, centres) is broadcast as one matrix after a check of its size; queries stream
-past it in Arrow batches. A set above the limit is refused: searches over all rows belong to a join on buckets.
+Neighbours are searched block against block and merged, for any number of rows on both sides. Pairwise metrics take a bounded sample, which
+is broadcast as one matrix after a check of its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_REFERENCE = 20_000
+BLOCK = 4_096  # rows of a block of either side
 MAX_CELLS = 4_000_000  # distances held at once
 
 
@@ -38,26 +42,47 @@ def blocks(pdf: pd.DataFrame, n_refs: int) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[i : i + step]
 
 
-def k_nearest(queries: DataFrame, refs: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, limit: int = MAX_REFERENCE) -> DataFrame:
-    """(src, dst, rank, dist): the k nearest references of each query, ties by key; a row isn't its own neighbour, by key."""
-    ids, matrix = reference_matrix(refs, key, vector, limit)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        for whole in batches:
-            for pdf in blocks(whole, len(ids)) if len(ids) else ():
-                src = pdf[key].to_numpy()
-                d = distances(np.stack(pdf[vector].to_numpy()).astype(np.float64), matrix)
-                if exclude_self:
-                    d[src[:, None] == ids[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]  # stable: references are in key order
-                best = np.take_along_axis(d, order, 1)
-                rank = np.tile(np.arange(1, order.shape[1] + 1), len(src))
-                out = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": ids[order].ravel(), "rank": rank, "dist": best.ravel()})
-                yield out[np.isfinite(out["dist"])]
-
-    return queries.select(key, vector).mapInPandas(search, "src bigint, dst bigint, rank int, dist double")
+def nearest_of(src: np.ndarray, q: np.ndarray, ids: np.ndarray, r: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """(src, dst, dist): the k nearest rows of r of each row of q, ties by id. Products tell which can be among them, within their own
+    rounding; the distances of those are by differences, as in ``distances``."""
+    qq, rr = (q * q).sum(axis=1)[:, None], (r * r).sum(axis=1)[None, :]
+    d, slack = qq + rr - 2 * (q @ r.T), 1e-12 * (qq + rr)
+    if exclude_self:
+        d[src[:, None] == ids[None, :]] = np.inf
+    far = np.partition(d + slack, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    i, j = np.nonzero((d - slack <= far[:, None]) & np.isfinite(d))
+    exact = np.zeros(len(i))
+    for c in range(q.shape[1]):
+        x = q[i, c] - r[j, c]
+        exact += x * x
+    out = pd.DataFrame({"src": src[i], "dst": ids[j], "dist": np.sqrt(exact)})
+    order = np.lexsort((out["dst"], out["dist"], i))
+    out, i = out.iloc[order], i[order]
+    return out[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
+def k_nearest(queries: DataFrame, refs: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+    """(src, dst, rank, dist): the k nearest references of each query, ties by key; a row isn't its own neighbour, by key. Keys are unique.
+
+    Both sides are cut into blocks of about ``block`` rows by the key's hash and each pair of blocks is searched in a group of its own, so no
+    side has a limit and no row passes the driver; the best of the blocks are then merged. The work grows with queries x references.
+    """
+    n_q, n_r = (max(1, math.ceil(df.count() / block)) for df in (queries, refs))
+
+    def cut(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"src": [], "dst": [], "dist": []})]
+        if len(left) and len(right):
+            ids, matrix = right["id"].to_numpy(), np.stack(right["x"].to_numpy()).astype(np.float64)
+            found = [nearest_of(p["id"].to_numpy(), np.stack(p["x"].to_numpy()).astype(np.float64), ids, matrix, k, exclude_self) for p in blocks(left, len(ids))]
+        return pd.concat(found)
+
+    q, r = cut(queries, "_q", n_q, "_r", n_r), cut(refs, "_r", n_r, "_q", n_q)
+    near = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(search, "src bigint, dst bigint, dist double")
+    rank = F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))  # k rows of each reference block
+    return near.select("src", "dst", rank.alias("rank"), "dist").where(F.col("rank") <= k)
 
 
 def mean_distances(df: DataFrame, label: str, key: str = "vec_id", vector: str = "embedding", limit: int = MAX_REFERENCE) -> DataFrame:

@@ -19,6 +19,8 @@ from ledgerlens.sources.tables import Stage, read_table
 QUERIES, SQL = {}, {}
 K = 5
 SAMPLE = 2_000  # rows of the bounded samples that pairwise steps take; the same hash order at every scale
+COMPARED, SCORED = 10_000, 60_000  # the surveyed samples: of method comparisons, and of silhouettes
+INFORMED = 5_000  # the survey's bound of the neighbour estimator on the driver
 
 
 def query(sql: str | None = None):
@@ -35,9 +37,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
-def sample(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of fixed size, by hash: pairwise operators work on samples by definition."""
-    return vectors(spark, d).orderBy(resample.hash_key("vec_id", 42), "vec_id").limit(SAMPLE)
+def sample(spark: SparkSession, d: str, rows: int = SAMPLE) -> DataFrame:
+    """A sample of fixed size, by hash, for operators that work on samples by definition."""
+    return vectors(spark, d).orderBy(resample.hash_key("vec_id", 42), "vec_id").limit(rows)
 
 
 E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT * FROM e ORDER BY md5('42|' || vec_id), vec_id LIMIT 2000)"
@@ -50,8 +52,8 @@ CENT = f"{E}, long AS (SELECT vec_id, label, unnest(range(len(v))) AS dim, unnes
 
 
 def _neighbours(spark, d):
-    s = sample(spark, d)
-    return k_nearest(s, s, K)
+    v = vectors(spark, d)
+    return k_nearest(v, v, K)
 
 
 def _edges(spark, d):
@@ -59,7 +61,7 @@ def _edges(spark, d):
 
 
 def _values(spark, d, dims: int = 8):
-    return sample(spark, d).select(F.col("vec_id").alias("node"), F.posexplode(F.slice("embedding", 1, dims)).alias("dim", "val"))
+    return vectors(spark, d).select(F.col("vec_id").alias("node"), F.posexplode(F.slice("embedding", 1, dims)).alias("dim", "val"))
 
 
 @query(f"WITH {NN} SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS INT) AS rank, round(dist, 6) AS dist FROM nn")
@@ -97,17 +99,17 @@ _PART = "CAST('0x' || substr(md5('7|' || vec_id), 1, 8) AS BIGINT) / 4294967296.
 @query(f"WITH {E}, p AS (SELECT *, {_PART} < 0.2::DOUBLE AS ref FROM s) SELECT a.vec_id, b.vec_id AS source_id, b.label FROM p a JOIN p b ON b.ref WHERE NOT a.ref QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) = 1")
 def nearest_propagation(spark, d):
     """Rows outside of the fitted sample take the label of its nearest row."""
-    s = sample(spark, d)
+    s = vectors(spark, d)
     ref = s.where(resample.split_of("vec_id", {"ref": 0.2, "rest": 0.8}, 7) == "ref")
     rest = s.join(ref.select("vec_id"), "vec_id", "left_anti")
     near = k_nearest(rest, ref, 1)
-    return near.join(F.broadcast(ref.select(F.col("vec_id").alias("dst"), "label")), "dst").select(F.col("src").alias("vec_id"), F.col("dst").alias("source_id"), "label")
+    return near.join(ref.select(F.col("vec_id").alias("dst"), "label"), "dst").select(F.col("src").alias("vec_id"), F.col("dst").alias("source_id"), "label")
 
 
 @query(f"WITH {E}, g AS (SELECT vec_id, v FROM s WHERE {_PART} < 0.9::DOUBLE), r AS (SELECT * FROM s ANTI JOIN g USING (vec_id)) SELECT count(*) AS n_edges, round(sum(0.01::DOUBLE), 6) AS weight FROM (SELECT vec_id FROM r UNION ALL SELECT vec_id FROM r)")
 def rescued_isolated(spark, d):
     """Edges added for nodes without one."""
-    s = sample(spark, d)
+    s = vectors(spark, d)
     inside = s.where(resample.split_of("vec_id", {"in": 0.9, "out": 0.1}, 7) == "in")
     edges = inside.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(1.0).alias("w"))
     out = graph.rescue_isolated(edges, s.select("vec_id"), s)
@@ -195,7 +197,7 @@ def confidence_weights(spark, d):
 @query(f"""WITH {E}, p AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY ALL),
     q AS (SELECT vec_id, max(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM p GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM q""")
 def silhouette(spark, d):
-    return metrics.silhouette(sample(spark, d), "label").select(F.round("silhouette", 6).alias("silhouette"))
+    return metrics.silhouette(sample(spark, d, SCORED), "label", limit=SCORED).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 _SPREAD = f"{CENT}, dc AS (SELECT vec_id, label, list_distance(v, c) AS r FROM e JOIN cv USING (label)), sp AS (SELECT label, count(*) AS n, avg(r) AS s, sum(r * r) AS ss FROM dc GROUP BY 1)"
@@ -232,13 +234,13 @@ def ward_guided_kmeans(spark, d):
 
 @query()
 def ward_clusters(spark, d):
-    ids, x = reference_matrix(sample(spark, d), "vec_id", "embedding")
+    ids, x = reference_matrix(sample(spark, d, COMPARED), "vec_id", "embedding")
     return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "cluster": linalg.ward(x, 10).astype(np.int32)}))
 
 
 @query()
 def density_clusters(spark, d):
-    ids, x = reference_matrix(sample(spark, d).where("label is not null"), "vec_id", "embedding")
+    ids, x = reference_matrix(sample(spark, d, COMPARED).where("label is not null"), "vec_id", "embedding")
     return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "cluster": linalg.density_clusters(x[:, :8], 10, 5).astype(np.int32)}))
 
 
@@ -266,7 +268,8 @@ def iforest_scores(spark, d):
 @query()
 def spectral(spark, d):
     """Spectral embedding of the sample's graph: node, dim, value."""
-    edges = graph.normalised_laplacian(_edges(spark, d)).toPandas()  # K edges a row of the bounded sample
+    s = sample(spark, d)
+    edges = graph.normalised_laplacian(graph.similarity_edges(k_nearest(s, s, K))).toPandas()  # K edges a row of the bounded sample
     ids = np.unique(edges["src"])
     at = {v: i for i, v in enumerate(ids)}
     w, v = linalg.spectral_embedding(edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy(), edges["val"].to_numpy(), 10)
@@ -363,7 +366,7 @@ def rule_tree(spark, d):
 def knn_information(spark, d):
     """Mutual information of amounts and the rule label's rank, by nearest neighbours on a bounded sample."""
     df = transactions(spark, d)
-    s = df.select("_rid", F.log1p(F.greatest("fee", F.lit(0.0))).alias("fee"), F.log1p(F.greatest("total_output_value", F.lit(0.0))).alias("total_output_value"), rules.first_match(df.columns).alias("profile")).where("fee is not null and total_output_value is not null").orderBy(resample.hash_key("_rid", 42)).limit(1000).toPandas()
+    s = df.select("_rid", F.log1p(F.greatest("fee", F.lit(0.0))).alias("fee"), F.log1p(F.greatest("total_output_value", F.lit(0.0))).alias("total_output_value"), rules.first_match(df.columns).alias("profile")).where("fee is not null and total_output_value is not null").orderBy(resample.hash_key("_rid", 42)).limit(INFORMED).toPandas()
     y = s["profile"].astype("category").cat.codes.to_numpy(float)
     return spark.createDataFrame([(c, linalg.neighbour_information(s[c].to_numpy(), y)) for c in ("fee", "total_output_value")], "feature string, mi_score double")
 

@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import clip, improvement, log_amount, safe_div
 from ledgerlens.operators import manifest, metrics, neighbours, report, resample, rules, scaling, zeta
+from ledgerlens.plans import vector_queries
 from ledgerlens.sources import tables
 
 
@@ -84,6 +86,29 @@ def test_neighbours_exclude_self_by_key(spark):
     assert got == {0: 1, 1: 0, 2: 0, 3: 0}
 
 
+def test_neighbours_of_blocks_are_those_of_all_rows(spark):
+    x = np.random.default_rng(3).integers(0, 4, (60, 3)).astype(float)  # with ties and equal rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    d = neighbours.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), r + 1) for i in range(60) for r, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
+    for block in (7, 1000):
+        assert {(r.src, r.dst, r.rank) for r in neighbours.k_nearest(df, df, 4, block=block).collect()} == want
+    assert neighbours.k_nearest(df, df.where("vec_id < 3"), 4, block=7).count() == 57 * 3 + 3 * 2
+    assert neighbours.k_nearest(df.where("false"), df, 4).count() == 0 and neighbours.k_nearest(df, df.where("false"), 4).count() == 0
+
+
+def test_graphs_and_propagation_take_all_rows(spark, tmp_path):
+    n = vector_queries.SAMPLE + 100
+    x = np.random.default_rng(5).normal(size=(n, 8))
+    spark.createDataFrame([(i, v.tolist(), f"c{i % 3}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    d = f"file://{tmp_path}"
+    assert vector_queries.knn_graph(spark, d).groupBy("src").count().where("count = 5").count() == n
+    assert vector_queries.normalised_laplacian(spark, d).where("src = dst").count() == n
+    refs = vector_queries.vectors(spark, d).where(resample.split_of("vec_id", {"ref": 0.2, "rest": 0.8}, 7) == "ref").count()
+    assert vector_queries.nearest_propagation(spark, d).count() == n - refs
+
+
 def test_stores(spark, tmp_path):
     store = tables.ResultStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("silhouette", 0.5, 0.4, 0.6, 10)], "metric string, mean double, ci_low double, ci_high double, n_iterations int")
