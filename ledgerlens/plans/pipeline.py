@@ -16,6 +16,7 @@ from ledgerlens.sources.tables import Stage, read_table
 
 FIT_ROWS = 20_000  # of the bounded samples that models are fitted on
 CLUSTERS = 30
+SEED_MIN_ROWS, SEED_ROWS = 500, 100_000  # of a rule family: the least for a seed, and the sample that its seeds are searched on
 
 
 def feature_frame(spark: SparkSession, d: str, stage: Stage) -> DataFrame:
@@ -36,15 +37,23 @@ def fit_rows(frame: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return frame.orderBy(resample.hash_key("_rid", 42), "_rid").limit(rows)
 
 
+def seed_allocation(frame: DataFrame, k: int) -> tuple[dict[str, int], dict[str, int]]:
+    """(seeds, rows) by rule family, counted over all rows. Where no family reaches ``SEED_MIN_ROWS``, which the surveyed pipeline refuses,
+    every family of two rows counts."""
+    sizes = {r.profile: r["count"] for r in frame.groupBy("profile").count().collect()}  # a row per family
+    return kmeans.allocate_seeds(sizes, k, SEED_MIN_ROWS) or kmeans.allocate_seeds(sizes, k, 2), sizes
+
+
 def seeded_labels(frame: DataFrame, stage: Stage, k: int = CLUSTERS, iterations: int = 10) -> DataFrame:
-    """(_rid, cluster, dist): Lloyd on the fitted sample from centres of the rule families, then applied to all rows."""
-    fit = stage.put(fit_rows(frame))
-    sizes = {r.profile: r["count"] for r in fit.groupBy("profile").count().collect()}
-    allocation = kmeans.allocate_seeds(sizes, k, at_least=max(2, min(500, fit.count() // 40)))
+    """(_rid, cluster, dist): Lloyd on all rows from centres of the rule families. Only the centres of a family of more than ``SEED_ROWS``
+    rows start from a sample of about so many, as surveyed."""
+    allocation, sizes = seed_allocation(frame, k)
     if not allocation:
         raise ValueError("no rule family is large enough for a seed")
-    seeds = kmeans.seed_centres(fit, "profile", allocation, "x")
-    centres, _ = kmeans.seeded_kmeans(fit, seeds, iterations, vector="x")
+    share = F.element_at(F.create_map(*[F.lit(v) for f in allocation for v in (f, SEED_ROWS / sizes[f])]), F.col("profile"))
+    rows = frame.where(F.col("profile").isin(*allocation)).where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 30)) < share * (1 << 30))
+    seeds = kmeans.seed_centres(stage.put(rows.select("_rid", "profile", "x")), "profile", allocation, "x")
+    centres, _ = kmeans.seeded_kmeans(frame, seeds, iterations, vector="x")
     return kmeans.assign(frame, centres, "_rid", "x")
 
 

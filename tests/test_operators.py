@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import clip, improvement, log_amount, safe_div
 from ledgerlens.operators import manifest, metrics, neighbours, report, resample, rules, scaling, zeta
-from ledgerlens.plans import vector_queries
+from ledgerlens.plans import pipeline, vector_queries
 from ledgerlens.sources import tables
 
 
@@ -109,6 +109,16 @@ def test_graphs_and_propagation_take_all_rows(spark, tmp_path):
     assert vector_queries.nearest_propagation(spark, d).count() == n - refs
 
 
+def test_small_families_of_large_tables_get_seeds(spark, stage):
+    n, rare = 30_000, 600  # more rows than FIT_ROWS; the rare family has 500 rows of all, but not of a sample
+    profile = F.when(F.col("id") % (n // rare) == 0, "Rare").otherwise("Common")
+    x = F.when(profile == "Rare", F.array(F.lit(6.0), F.lit(6.0))).otherwise(F.array(F.lit(0.0), F.col("id") % 2 * 4.0))
+    frame = stage.put(spark.range(n).select(F.col("id").cast("string").alias("_rid"), profile.alias("profile"), x.alias("x")))
+    assert pipeline.seed_allocation(frame, 2)[0] == {"Common": 1, "Rare": 1}
+    sizes = pipeline.seeded_labels(frame, stage, 2).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in sizes) == [rare, n - rare]
+
+
 def test_stores(spark, tmp_path):
     store = tables.ResultStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("silhouette", 0.5, 0.4, 0.6, 10)], "metric string, mean double, ci_low double, ci_high double, n_iterations int")
