@@ -241,7 +241,7 @@ def ward_clusters(spark, d):
 @query()
 def density_clusters(spark, d):
     ids, x = reference_matrix(sample(spark, d, COMPARED).where("label is not null"), "vec_id", "embedding")
-    return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "cluster": linalg.density_clusters(x[:, :8], 10, 5).astype(np.int32)}))
+    return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "cluster": linalg.density_clusters(x, 10, 5).astype(np.int32)}))
 
 
 @query()
@@ -276,16 +276,53 @@ def spectral(spark, d):
     return spark.createDataFrame(pd.DataFrame({"vec_id": np.repeat(ids, 10), "dim": np.tile(np.arange(10, dtype=np.int32), len(ids)), "val": v.ravel()}))
 
 
+def moments(df: DataFrame, centres: dict, label: str | None = None, vector: str = "embedding") -> np.ndarray:
+    """Sum over all rows of the products of all pairs of coordinates, less the centre of the row's label (that of None without one). Rows
+    whose label has no centre are left out. Partial sums of a partition are d x d."""
+    dim = len(next(iter(centres.values())))
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def partial(batches):
+        total = np.zeros((dim, dim))
+        for pdf in batches:
+            for name, own in pdf.groupby("label", dropna=False) if label else [(None, pdf)]:
+                if len(own) and name in shared.value:
+                    x = np.stack(own["x"].to_numpy()) - shared.value[name]
+                    total += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim), "s": total.ravel()})
+
+    rows = df.where(F.col(vector).isNotNull()).select((F.col(label) if label else F.lit(0)).alias("label"), F.col(vector).alias("x"))
+    out = np.zeros((dim, dim))
+    for r in rows.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # d x d
+        out[r.i, r.j] = r.s
+    return out
+
+
 @query()
 def pca_whiten(spark, d):
-    """Whitened coordinates: moments are aggregated over all rows, the d x d step runs on the driver."""
+    """Whitened coordinates of the whole vector: moments are aggregated over all rows, the d x d step runs on the driver."""
     v = vectors(spark, d)
-    dims = 8
-    c = [F.col("embedding")[i] for i in range(dims)]
-    row = v.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(c)], *[F.covar_samp(c[i], c[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(dims)]).first()
-    mean, m = linalg.whiten_from_moments(np.array([row[f"m{i}"] for i in range(dims)]), np.array([[row[f"c{i}_{j}"] for j in range(dims)] for i in range(dims)]))
-    out = [sum((float(m[i, k]) * (c[i] - float(mean[i])) for i in range(dims)), F.lit(0.0)) for k in range(dims)]
-    return v.select("vec_id", F.array(*out).alias("whitened"))
+    dim = v.agg(F.max(F.size("embedding"))).first()[0]
+    row = v.agg(F.count("embedding").alias("n"), *[F.avg(F.col("embedding")[i]).alias(f"m{i}") for i in range(dim)]).first()
+    mean = np.array([row[f"m{i}"] for i in range(dim)])
+    shared = spark.sparkContext.broadcast(linalg.whiten_from_moments(mean, moments(v, {None: mean}) / max(1, row["n"] - 1)))
+
+    def whiten(batches):
+        mean, m = shared.value
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "whitened": list((np.stack(pdf["embedding"].to_numpy()) - mean) @ m)})
+
+    return v.select("vec_id", "embedding").mapInPandas(whiten, "vec_id bigint, whitened array<double>")
+
+
+def class_scatter(df: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """(within, between) of the whole vectors, as ``scatter_matrices`` with weights of 1."""
+    sizes = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().where("count >= 2").collect()}  # a row per class
+    names, centres = kmeans.centre_matrix(df.where(F.col(label).isin(*sizes)), label)
+    n = np.array([sizes[x] for x in names], float)
+    apart = centres - n @ centres / n.sum()
+    return moments(df, dict(zip(names, centres)), label), (apart * n[:, None]).T @ apart
 
 
 @query()
@@ -293,13 +330,10 @@ def metric_search(spark, d):
     """Candidate metrics from the scatter of the labels' classes, by the silhouette they give."""
     ids, x = reference_matrix(sample(spark, d), "vec_id", "embedding")
     labels = {r.vec_id: r.label for r in sample(spark, d).select("vec_id", "label").collect()}
-    rows = scatter_matrices(vectors(spark, d).withColumn("wt", F.lit(1.0)), "label", "wt", 8).collect()
-    w, b = np.zeros((8, 8)), np.zeros((8, 8))
-    for r in rows:
-        w[r.i, r.j], b[r.i, r.j] = r.within, r.between
+    w, b = class_scatter(vectors(spark, d), "label")
     n = max(1, len(ids))
     y = np.array([labels[i] for i in ids])
-    return spark.createDataFrame([(name, linalg.silhouette_of(x[:, :8] @ m, y)) for name, m in linalg.metric_candidates(w / n, b / n).items()], "name string, silhouette double")
+    return spark.createDataFrame([(name, linalg.silhouette_of(x @ m, y)) for name, m in linalg.metric_candidates(w / n, b / n).items()], "name string, silhouette double")
 
 
 def _scored(spark, d, n: int, keep: int):

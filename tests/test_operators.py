@@ -119,6 +119,19 @@ def test_small_families_of_large_tables_get_seeds(spark, stage):
     assert sorted(r["count"] for r in sizes) == [rare, n - rare]
 
 
+def test_whitening_and_scatter_take_the_whole_vector(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 12)) @ rng.normal(size=(12, 12)) + 5
+    spark.createDataFrame([(i, v.tolist(), f"c{i % 3}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    d = f"file://{tmp_path}"
+    white = np.array([r.whitened for r in vector_queries.pca_whiten(spark, d).collect()])
+    assert white.shape == (300, 12) and np.allclose(np.cov(white.T), np.eye(12))
+    v = vector_queries.vectors(spark, d)
+    within, between = vector_queries.class_scatter(v, "label")
+    for r in vector_queries.scatter_matrices(v.withColumn("wt", F.lit(1.0)), "label", "wt", 12).collect():
+        assert math.isclose(within[r.i, r.j], r.within, abs_tol=1e-6) and math.isclose(between[r.i, r.j], r.between, abs_tol=1e-6)
+
+
 def test_stores(spark, tmp_path):
     store = tables.ResultStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("silhouette", 0.5, 0.4, 0.6, 10)], "metric string, mean double, ci_low double, ci_high double, n_iterations int")
