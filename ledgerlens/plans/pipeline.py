@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerlens.operators import kmeans, linalg, manifest, metrics, report, resample, rules, scaling, zeta
 from ledgerlens.plans.transactions import AMOUNTS, COUNTS, FLAGS, transactions
@@ -148,4 +149,12 @@ def ablation(spark: SparkSession, d: str, rows: int = 2_000, k: int = 10) -> Dat
     return spark.createDataFrame([(n, linalg.silhouette_of(z, lab), r) for n, lab, z, r in found], "condition string, silhouette double, anomaly_rate double")
 
 
-QUERIES = {"pipeline_profiles": profiles, "column_manifest": column_manifest, "contextual_comparison": contextual_comparison, "ablation": ablation}
+def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Change of the silhouette from one condition of the ablation to the next."""
+    rows = ablation(spark, d)
+    before = F.lag("silhouette").over(W.partitionBy(F.lit(0)).orderBy("condition"))  # four rows
+    delta = F.col("silhouette") - before
+    return rows.select("condition", "silhouette", delta.alias("silhouette_delta"), (delta / F.nullif(F.abs(before), F.lit(0.0)) * 100).alias("pct"))
+
+
+QUERIES = {"pipeline_profiles": profiles, "column_manifest": column_manifest, "contextual_comparison": contextual_comparison, "ablation": ablation, "ablation_deltas": ablation_deltas}

@@ -265,14 +265,19 @@ def iforest_scores(spark, d):
     return vectors(spark, d).select("vec_id", "embedding").mapInPandas(score, "vec_id bigint, score double")
 
 
-@query()
-def spectral(spark, d):
-    """Spectral embedding of the sample's graph: node, dim, value."""
+def _spectrum(spark, d, dims: int = 10):
+    """Nodes, eigenvalues and eigenvectors of the sample's graph."""
     s = sample(spark, d)
     edges = graph.normalised_laplacian(graph.similarity_edges(k_nearest(s, s, K))).toPandas()  # K edges a row of the bounded sample
     ids = np.unique(edges["src"])
     at = {v: i for i, v in enumerate(ids)}
-    w, v = linalg.spectral_embedding(edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy(), edges["val"].to_numpy(), 10)
+    return ids, *linalg.spectral_embedding(edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy(), edges["val"].to_numpy(), dims)
+
+
+@query()
+def spectral(spark, d):
+    """Spectral embedding of the sample's graph: node, dim, value."""
+    ids, _, v = _spectrum(spark, d)
     return spark.createDataFrame(pd.DataFrame({"vec_id": np.repeat(ids, 10), "dim": np.tile(np.arange(10, dtype=np.int32), len(ids)), "val": v.ravel()}))
 
 
@@ -298,6 +303,13 @@ def moments(df: DataFrame, centres: dict, label: str | None = None, vector: str
     return out
 
 
+@query()
+def spectral_gaps(spark, d):
+    """The summary of the gaps between the eigenvalues that the embedding has."""
+    values = [(i + 1, float(x)) for i, x in enumerate(_spectrum(spark, d)[1])]
+    return graph.eigengap_summary(spark.createDataFrame(values, "dim int, eigenvalue double"))
+
+
 @query()
 def pca_whiten(spark, d):
     """Whitened coordinates of the whole vector: moments are aggregated over all rows, the d x d step runs on the driver."""

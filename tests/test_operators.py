@@ -132,6 +132,13 @@ def test_whitening_and_scatter_take_the_whole_vector(spark, tmp_path):
         assert math.isclose(within[r.i, r.j], r.within, abs_tol=1e-6) and math.isclose(between[r.i, r.j], r.between, abs_tol=1e-6)
 
 
+def test_gaps_are_those_of_the_given_vectors(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(60, 4)) + np.arange(60)[:, None] % 3 * 100  # three parts that share no edge
+    spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = vector_queries.spectral_gaps(spark, f"file://{tmp_path}").first()
+    assert got.n_dims == 10 and abs(got.min_value) < 1e-9 and got.gap_dim == 4
+
+
 def test_stores(spark, tmp_path):
     store = tables.ResultStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("silhouette", 0.5, 0.4, 0.6, 10)], "metric string, mean double, ci_low double, ci_high double, n_iterations int")
