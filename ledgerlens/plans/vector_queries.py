@@ -20,6 +20,7 @@ QUERIES, SQL = {}, {}
 K = 5
 SAMPLE = 2_000  # rows of the bounded samples that pairwise steps take; the same hash order at every scale
 COMPARED, SCORED = 10_000, 60_000  # the surveyed samples: of method comparisons, and of silhouettes
+POOL = 20_000  # rows that resamples are drawn from
 INFORMED = 5_000  # the survey's bound of the neighbour estimator on the driver
 
 
@@ -350,14 +351,15 @@ def metric_search(spark, d):
 
 def _scored(spark, d, n: int, keep: int):
     """(run, silhouette): resampled silhouettes, each of one task."""
-    ids, x = reference_matrix(sample(spark, d), "vec_id", "embedding")
-    labels = {r.vec_id: r.label for r in sample(spark, d).select("vec_id", "label").collect()}
+    pool = sample(spark, d, POOL)
+    ids, x = reference_matrix(pool, "vec_id", "embedding")
+    labels = {r.vec_id: r.label for r in pool.select("vec_id", "label").collect()}
     y = np.array([labels[i] for i in ids])
-    return spark.sparkContext.broadcast((x, y)), spark.range(n, numPartitions=min(n, 16))
+    return spark.sparkContext.broadcast((x, y)), spark.range(n, numPartitions=min(n, 100))
 
 
 @query()
-def bootstrap_ci(spark, d, runs: int = 40, size: int = 500):
+def bootstrap_ci(spark, d, runs: int = 200, size: int = 5_000):
     """Mean and 95 % interval of the silhouette over bootstrap samples."""
     shared, it = _scored(spark, d, runs, size)
 
@@ -375,12 +377,14 @@ def bootstrap_ci(spark, d, runs: int = 40, size: int = 500):
 
 
 @query()
-def permutation_p(spark, d, runs: int = 40, size: int = 500):
+def permutation_p(spark, d, runs: int = 300, size: int = 5_000):
     """Share of label permutations whose silhouette reaches the observed one."""
     shared, it = _scored(spark, d, runs + 1, size)
 
     def run(batches):
-        x, y = (a[:size] for a in shared.value)
+        x, y = shared.value
+        at = np.random.default_rng(0).permutation(len(x))[:size]  # the pool is in key order
+        x, y = x[at], y[at]
         for pdf in batches:
             yield pd.DataFrame({"run": pdf["id"], "silhouette": [linalg.silhouette_of(x, y if i == 0 else np.random.default_rng(i).permutation(y)) for i in pdf["id"]]})
 

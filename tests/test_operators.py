@@ -139,6 +139,15 @@ def test_gaps_are_those_of_the_given_vectors(spark, tmp_path):
     assert got.n_dims == 10 and abs(got.min_value) < 1e-9 and got.gap_dim == 4
 
 
+def test_resamples_are_of_the_surveyed_number(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(40, 4)) + np.arange(40)[:, None] % 2 * 9
+    spark.createDataFrame([(i, v.tolist(), f"c{i % 2}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    d = f"file://{tmp_path}"
+    assert vector_queries.bootstrap_ci(spark, d).first().n_iterations == 200
+    got = vector_queries.permutation_p(spark, d).first()
+    assert got.n_permutations == 300 and got.p_value < 0.01 and got.observed > 0.5
+
+
 def test_stores(spark, tmp_path):
     store = tables.ResultStore(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([("silhouette", 0.5, 0.4, 0.6, 10)], "metric string, mean double, ci_low double, ci_high double, n_iterations int")
