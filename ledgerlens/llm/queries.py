@@ -42,6 +42,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.wrong_claims(read_table(spark, d, "dataset"), read_table(spark, d, "percentile_reports"), "shard_id", PERCENTILE_FIELDS, Stage(spark))
 
 
+def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """How many claims the sketches call right and wrong, and how many they leave open to be counted."""
+    judged = quantiles.judge_claims(read_table(spark, d, "dataset"), read_table(spark, d, "percentile_reports"), "shard_id", PERCENTILE_FIELDS, Stage(spark))
+    return judged.groupBy("verdict").agg(F.count("*").alias("claims"))
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Medians and other percentiles of each shard and field."""
     parts = quantiles.build_sketches(read_table(spark, d, "dataset"), "shard_id", PERCENTILE_FIELDS)
@@ -113,7 +119,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
 
 _ITEMS = r"""
     SELECT field_name, unnest(list_filter(list_transform(tokens, lambda x: trim(CASE

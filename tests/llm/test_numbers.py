@@ -31,11 +31,22 @@ def test_rank_error_merge_and_delete(values):
         q = whole.percentile(p)
         lo, hi = np.searchsorted(s, q * (1 - 2**-11)), np.searchsorted(s, q * (1 + 2**-11), "right")
         assert lo / len(s) - 0.02 <= p <= hi / len(s) + 0.02
-    error = [abs(whole.rank(quantiles.encode(s[[i]]))[0] - i) for i in np.searchsorted(s, s[:: len(s) // 50])]
-    assert max(error) < 6 * whole.rank_deviation()
+    for i in np.searchsorted(s, s[:: len(s) // 50]):
+        rank, dev = whole.rank_with_deviation(quantiles.encode(s[[i]]))
+        assert abs(rank[0] - np.searchsorted(quantiles.encode(s), quantiles.encode(s[[i]]))[0]) <= 6 * dev[0]
     whole.add(code[half:], -count[half:])
     assert (whole.counters == a.counters).all()
-    assert (quantiles.DyadicSketch.of(a.blob(), 256, 3).counters == a.counters).all()
+    part = quantiles.Part()
+    part.add(code[:half], count[:half])
+    assert (quantiles.Part.of(part.blob()).dense().counters == a.counters).all()
+    both = quantiles.Part.of(part.blob()).merge(quantiles.Part.of(a.blob()).blob())
+    assert (both.dense().counters == 2 * a.counters).all()
+    one_by_one = quantiles.Part(16, 3)  # small enough to become counters on the way
+    for c, n in zip(np.array_split(code, 7), np.array_split(count, 7)):
+        one_by_one.add(c, n)
+    direct = quantiles.DyadicSketch(16, 3)
+    direct.add(code, count)
+    assert (one_by_one.dense().counters == direct.counters).all()
 
 
 def claims_frame(spark, rows):
@@ -61,6 +72,36 @@ def test_wrong_claims(spark, stage):
     assert got == want | {901}
 
 
+def test_sketches_decide_most_claims(spark, stage):
+    rng = np.random.default_rng(6)
+    values = {s: np.sort(rng.lognormal(5, 2, 3000)) for s in range(4)}
+    df = spark.createDataFrame([(s, float(v)) for s, x in values.items() for v in x], "shard_id int, fee double").repartition(5)
+    rows = [(100 * s + p, s, "fee", p, float(values[s][min(2999, int(30 * p + 30 * off))]), "") for s in values for p in range(5, 95, 3) for off in [rng.choice([-1.0, 0.0, 1.0, 12.0])]]
+    got = {r.report_id: r.verdict for r in quantiles.judge_claims(df, claims_frame(spark, rows), "shard_id", ["fee"], stage, claims_at_once=10).collect()}
+    assert len(got) == len(rows) and sum(v == "open" for v in got.values()) < 0.1 * len(rows)
+    for r, s, _, p, v, _ in rows:
+        wrong = (values[s] < v).sum() > 30 * (p + 4) or (values[s] <= v).sum() < 30 * (p - 4)
+        assert got[r] in ("open", "wrong" if wrong else "right")
+
+
+def test_parts_of_many_groups_are_bounded_and_add_up(spark):
+    rng = np.random.default_rng(7)
+    x, keys = rng.lognormal(2, 2, 5000), rng.integers(0, 40, 5000)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(v)], ["g", "v"]) for k, v in zip(np.array_split(keys, 20), np.array_split(x, 20))]
+    out = [b for b in quantiles._build("g", ["v"], 64, 3, rows_at_once=500, held=2000)(iter(batches))]
+    parts = pa.Table.from_batches(out).to_pandas()
+    assert len(parts) > 40 and parts["n"].sum() == 5000
+    frame = spark.createDataFrame([(int(r.g), r.field_name, int(r.n), bytearray(r.sketch)) for r in parts.itertuples()], "g int, field_name string, n long, sketch binary")
+    merged = {r.g: r for r in quantiles.merge_sketches(frame, "g", 64, 3, salts=3).collect()}
+    assert len(merged) == 40
+    for g, r in merged.items():
+        want = quantiles.DyadicSketch(64, 3)
+        want.add(*np.unique(quantiles.encode(x[keys == g]), return_counts=True))
+        assert r.n == (keys == g).sum() and (quantiles.Part.of(bytes(r.sketch), 64, 3).dense().counters == want.counters).all()
+
+
 def test_sketches_of_an_empty_table(spark):
     df = spark.createDataFrame([], "shard_id int, fee double")
     assert quantiles.percentiles(quantiles.merge_sketches(quantiles.build_sketches(df, "shard_id", ["fee"]), "shard_id"), "shard_id", [0.5]).count() == 0
