@@ -4,8 +4,12 @@ The component of the highest-degree vertex is peeled off by frontier breadth-fir
 away; small components are labelled by minimum propagation. Minimum propagation works by contraction: each
 vertex hooks to the neighbour of least priority in its closed neighbourhood, the graph of the hooks'
 targets replaces the graph, and priorities are redrawn each round, so that the number of rounds is logarithmic
-even for long chains. A peeled component that isn't exhausted within ``bfs_rounds`` is contracted to one vertex and left
-to the propagation, so the bound costs no links. A remainder of at most ``tail_edges`` edges is finished in one task.
+even for long chains. It goes on until no edge is left. A peeled component that isn't exhausted within ``bfs_rounds`` is contracted to
+one vertex and left to the propagation, so the bound costs no links.
+
+Hot vertices: what is peeled maps to its hub by a literal, without a join. In any other lookup by vertex the keys that hold more than a
+thousandth of the rows (at most 1,000 of them for either end, so a bounded broadcast) are looked up by broadcast, the others by shuffle.
+The edges are partitioned by their source once for all breadth-first rounds.
 
 Defined cases: pairs with a null or blank side are dropped; a pair of a record with itself makes it a group of
 one unless it is linked otherwise; repeated and reversed pairs count once; an empty table gives no rows.
@@ -13,9 +17,7 @@ one unless it is linked otherwise; repeated and reversed pairs count once; an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,100 +31,107 @@ def record_key(col: Column) -> Column:
     return F.when(key.rlike("^[0-9a-fA-F]{64}$"), F.lower(key)).when(key != "", key)
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over one small task's edges."""
-    root: dict[int, int] = {}
+HOT, LEAST = 1_000, 10_000  # a key is hot that holds more than one in HOT of all rows, and more than LEAST of them
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for pdf in batches:
-        for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"v": list(root), "to": [find(x) for x in list(root)]}, dtype="int64")
+def look_up(rows: DataFrame, key: str, table: DataFrame, stage: Stage, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` (at most ``n``) joined with ``table``, which has each ``key`` once. Rows of hot keys aren't shuffled."""
+    if n <= LEAST:
+        return rows.join(table, key, how)
+    many = rows.groupBy(key).count().where(F.col("count") > max(n // HOT, LEAST)).select(key)
+    many = stage.put(many)  # at most HOT rows
+    if many.isEmpty():
+        return rows.join(table, key, how)
+    hot = table.join(F.broadcast(many), key, "left_semi")
+    return rows.join(F.broadcast(many), key, "left_semi").join(F.broadcast(hot), key, how).unionByName(rows.join(F.broadcast(many), key, "left_anti").join(table, key, how))
 
 
 class Components:
-    """Labels of an undirected graph given as (u, v) of bigint; ids in, (v, root) out for every vertex that has an edge."""
+    """Labels of an undirected graph given as (u, v) of bigint; ids in, (v, root) out for every vertex that has an edge.
+
+    ``rounds`` counts the rounds of propagation after a call of ``labels``."""
 
-    def __init__(self, stage: Stage, bfs_rounds: int = 16, tail_edges: int = 50_000):
-        self.stage, self.bfs_rounds, self.tail_edges = stage, bfs_rounds, tail_edges
+    def __init__(self, stage: Stage, bfs_rounds: int = 8):
+        self.stage, self.bfs_rounds, self.rounds = stage, bfs_rounds, 0
 
     def _both(self, edges: DataFrame) -> DataFrame:
         return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def peel(self, edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """(v, to) of the vertices reached from the hub, and the edges left; edges that leave a part only partly reached
-        start at the hub."""
+    def peel(self, edges: DataFrame) -> tuple[int | None, DataFrame | None, DataFrame]:
+        """The hub, (v) of the vertices reached from it, itself included, and the edges left; edges that leave a part only partly
+        reached start at the hub."""
         degrees = self._both(edges).groupBy("u").agg(F.count("*").alias("d"))
-        hub = degrees.orderBy(F.desc("d"), "u").first()
-        if hub is None:
-            return None, edges
-        both = self.stage.put(self._both(edges))
-        spark = edges.sparkSession
-        seen = self.stage.put(spark.createDataFrame([(hub.u,)], "x bigint"))
-        frontier, done = seen, False
-        for _ in range(self.bfs_rounds):
-            # both sides shuffle unless the optimizer sees that the frontier is small
+        top = degrees.orderBy(F.desc("d"), "u").first()
+        if top is None:
+            return None, None, edges
+        hub, spark = top.u, edges.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # the hub's own edges serve the first round only
+        both = self._both(edges).where(F.col("u") != hub).where(F.col("v") != hub).repartition(parts, "u").persist(StorageLevel.DISK_ONLY)
+        first = self._both(edges).where(F.col("u") == hub).select(F.col("v").alias("x"))
+        frontier = self.stage.put(first)
+        seen, done = frontier.unionByName(spark.createDataFrame([(hub,)], "x bigint")), False
+        for _ in range(self.bfs_rounds - 1):
             new = both.join(frontier, both.u == frontier.x, "left_semi").select(F.col("v").alias("x")).distinct().join(seen, "x", "left_anti")
             frontier = self.stage.put(new)
             if frontier.isEmpty():
                 done = True
                 break
             seen = seen.unionByName(frontier)
-        marked = edges.join(seen.select(F.col("x").alias("su")), F.col("u") == F.col("su"), "left")
-        if not done:
-            marked = marked.join(seen.select(F.col("x").alias("sv")), F.col("v") == F.col("sv"), "left")
-        else:
-            marked = marked.withColumn("sv", F.col("su"))  # an exhausted component has both ends of an edge or none
-        rest = marked.where(~(F.col("su").isNotNull() & F.col("sv").isNotNull())).select(F.when(F.col("su").isNotNull(), F.lit(hub.u)).otherwise(F.col("u")).alias("u"), F.when(F.col("sv").isNotNull(), F.lit(hub.u)).otherwise(F.col("v")).alias("v"))
-        return seen.select(F.col("x").alias("v"), F.lit(hub.u).cast("long").alias("to")), self.stage.put(rest.distinct())
+        both.unpersist()
+        seen = self.stage.put(seen)
+        at = edges.where((F.col("u") != hub) & (F.col("v") != hub)) if done else edges
+        marked = at.join(seen.select(F.col("x").alias("u"), F.lit(True).alias("su")), "u", "left")
+        marked = marked.join(seen.select(F.col("x").alias("v"), F.lit(True).alias("sv")), "v", "left") if not done else marked.withColumn("sv", F.col("su"))  # an exhausted component has both ends of an edge or none
+        rest = marked.where("su is null or sv is null").select(F.when(F.col("su"), F.lit(hub)).otherwise(F.col("u")).alias("u"), F.when(F.col("sv"), F.lit(hub)).otherwise(F.col("v")).alias("v"))
+        return hub, seen.select(F.col("x").alias("v")), self.stage.put(rest.distinct())
 
     def labels(self, edges: DataFrame) -> DataFrame:
-        edges = self.stage.put(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        stage, self.rounds = self.stage, 0
+        edges = stage.put(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        hub, peeled, edges = self.peel(edges)
         steps: list[DataFrame] = []
-        peeled, edges = self.peel(edges)
-        if peeled is not None:
-            steps.append(peeled)
-        turn = 0
         while (left := edges.count()) > 0:
-            if left <= self.tail_edges:
-                steps.append(self.stage.put(edges.coalesce(1).mapInPandas(_finish, "v bigint, to bigint")))
-                break
-            turn += 1
-            both = self._both(edges)
-            near = both.groupBy("u").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("p"), F.col("v").alias("t"))).alias("m"))
-            hook = self.stage.put(near.select(F.col("u").alias("v"), F.when(F.struct(F.xxhash64(F.lit(turn), "u").alias("p"), F.col("u").alias("t")) < F.col("m"), F.col("u")).otherwise(F.col("m.t")).alias("to")))
-            steps.append(hook)
-            a, b = hook.select(F.col("v").alias("u"), F.col("to").alias("tu")), hook.select("v", F.col("to").alias("tv"))
-            edges = self.stage.put(edges.join(a, "u").join(b, "v").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).where("u <> v").distinct())
+            self.rounds += 1
+            turn = F.lit(self.rounds)
+            near = self._both(edges).groupBy("u").agg(F.min(F.struct(F.xxhash64(turn, "v").alias("p"), F.col("v").alias("t"))).alias("m"))
+            hook = stage.put(near.select(F.col("u").alias("v"), F.when(F.struct(F.xxhash64(turn, "u").alias("p"), F.col("u").alias("t")) < F.col("m"), F.col("u")).otherwise(F.col("m.t")).alias("to")))
+            steps.append((hook, 2 * left))
+            moved = look_up(edges, "u", hook.select(F.col("v").alias("u"), F.col("to").alias("tu")), stage, left)
+            moved = moved if left <= LEAST else stage.put(moved)  # its keys are counted
+            new = stage.put(look_up(moved, "v", hook.select("v", F.col("to").alias("tv")), stage, left).select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).where("u <> v").distinct())
+            for df in (edges, moved):
+                stage.drop(df)
+            edges = new
         # from the last step to the first: what a vertex maps to is mapped on
         out = None
-        for step in reversed(steps):
-            if out is None:
+        for step, n in reversed(steps):
+            if out is not None:
+                onward = look_up(step, "to", out.select(F.col("v").alias("to"), "root"), stage, n, "left")
+                out = stage.put(onward.select("v", F.coalesce("root", "to").alias("root")))
+            else:
                 out = step.select("v", F.col("to").alias("root"))
-                continue
-            mapped = step.join(out.select(F.col("v").alias("to"), "root"), "to", "left").select("v", F.coalesce("root", "to").alias("root"))
-            # vertices that joined the graph later only (a hub that stands for a peeled part is in its own step)
-            out = self.stage.put(mapped.unionByName(out.join(step.select("v"), "v", "left_anti")))
-        return out if out is not None else edges.sparkSession.createDataFrame([], "v bigint, root bigint")
+        if hub is None:
+            return edges.select("v", F.col("u").alias("root"))  # no edges
+        if out is None:
+            return peeled.select("v", F.lit(hub).cast("bigint").alias("root"))
+        stands = out.where(F.col("v") == hub).first()
+        whole = peeled.select("v", F.lit(stands.root if stands else hub).cast("bigint").alias("root"))
+        return out.where(F.col("v") != hub).unionByName(whole)
 
 
-def link_groups(pairs: DataFrame, left: str, right: str, stage: Stage, bfs_rounds: int = 16, tail_edges: int = 50_000) -> DataFrame:
+def link_groups(pairs: DataFrame, left: str, right: str, stage: Stage, bfs_rounds: int = 8) -> DataFrame:
     """(record_key, group_key): every record of a pair with both sides, and the smallest key of its group."""
     both = pairs.select(record_key(F.col(left)).alias("a"), record_key(F.col(right)).alias("b")).where("a is not null and b is not null").distinct()
     both = stage.put(both)
     nodes = both.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # ids in the order of the keys: the smallest id of a group is its smallest key
     ids = stage.put(numbered(nodes, ["key"], stage, name="id"))
-    edges = both.where("a <> b").join(ids.select(F.col("key").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-    roots = Components(stage, bfs_rounds, tail_edges).labels(edges)
-    placed = ids.join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    placed = stage.put(placed)
-    least = placed.groupBy("root").agg(F.min("key").alias("group_key"))
-    return placed.join(least, "root").select(F.col("key").alias("record_key"), "group_key")
+    n = both.count()
+    half = look_up(both.where("a <> b"), "a", ids.select(F.col("key").alias("a"), F.col("id").alias("u")), stage, n).select("u", "b")
+    half = half if n <= LEAST else stage.put(half)
+    edges = look_up(half, "b", ids.select(F.col("key").alias("b"), F.col("id").alias("v")), stage, n).select("u", "v")
+    roots = Components(stage, bfs_rounds).labels(edges)
+    placed = stage.put(ids.join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    least = stage.put(placed.groupBy("root").agg(F.min("key").alias("group_key")))
+    return look_up(placed, "root", least, stage, 2 * n).select(F.col("key").alias("record_key"), "group_key")

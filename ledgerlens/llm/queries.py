@@ -149,6 +149,12 @@ SQL = {
     SELECT report_id FROM c WHERE below * 100 > (pct_rank + 4) * n OR upto * 100 < (pct_rank - 4) * n""",
     "p4_found": f"SELECT plan_id, stratum FROM ({_REQUIRED}) WHERE required > available",
     "p4_report": f"SELECT plan_id, stratum, required, available, least(required, available) AS drawn, required - least(required, available) AS short FROM ({_REQUIRED})",
+    "p6_found": r"""
+    WITH RECURSIVE k AS (SELECT DISTINCT CASE WHEN regexp_matches(a, '^[0-9a-fA-F]{64}$') THEN lower(a) ELSE a END AS a, CASE WHEN regexp_matches(b, '^[0-9a-fA-F]{64}$') THEN lower(b) ELSE b END AS b
+        FROM (SELECT regexp_replace(left_key, '^\s+|\s+$', '', 'g') AS a, regexp_replace(right_key, '^\s+|\s+$', '', 'g') AS b FROM match_pairs) WHERE a <> '' AND b <> ''),
+    e AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+    reach(record_key, other) AS (SELECT a, a FROM e UNION SELECT reach.record_key, e.b FROM reach JOIN e ON reach.other = e.a)
+    SELECT record_key, min(other) AS group_key FROM reach GROUP BY record_key""",
     "p7_found": f"""
     WITH i AS ({_ITEMS}), c AS (SELECT field_name, address, count(*) AS n FROM i GROUP BY field_name, address),
     s AS (SELECT *, sum(n) OVER (PARTITION BY field_name) AS total FROM c)

@@ -1,7 +1,9 @@
+import os
 import random
 
 import pytest
 
+from ledgerlens.llm import components
 from ledgerlens.llm.components import Components, link_groups, record_key
 
 
@@ -30,11 +32,13 @@ def graphs():
 
 
 @pytest.mark.parametrize("n", range(3))
-@pytest.mark.parametrize("limits", [(16, 50_000), (2, 0)])
-def test_against_union_find(spark, stage, n, limits):
+@pytest.mark.parametrize(("bfs_rounds", "hot"), [(16, False), (2, True)])
+def test_against_union_find(spark, stage, monkeypatch, n, bfs_rounds, hot):
+    if hot:  # every key with more than one row is looked up by broadcast
+        monkeypatch.setattr(components, "LEAST", 1)
     pairs = list(graphs())[n]
     df = spark.createDataFrame([(f"k{a:05d}", f" k{b:05d}\t", 0.5) for a, b in pairs], "l string, r string, record_key double")
-    got = {r.record_key: r.group_key for r in link_groups(df, "l", "r", stage, *limits).collect()}
+    got = {r.record_key: r.group_key for r in link_groups(df, "l", "r", stage, bfs_rounds).collect()}
     assert got == {f"k{a:05d}": f"k{b:05d}" for a, b in brute(pairs).items()}
 
 
@@ -49,3 +53,16 @@ def test_nulls_and_empty(spark, stage):
     assert {tuple(r) for r in link_groups(df, "l", "r", stage).collect()} == {("d", "d"), ("e", "e"), ("f", "e")}
     assert link_groups(df.where("false"), "l", "r", stage).count() == 0
     assert Components(stage).labels(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_propagation_labels_all_that_is_left(spark, stage):
+    """The given pairs: several rounds run until no edge is left, in more than one task."""
+    pairs = spark.read.parquet("/root/testdata/sf0.01/match_pairs.parquet")
+    keys = pairs.select(*[record_key(pairs[c]).alias(c) for c in ("left_key", "right_key")]).dropna()
+    edges = keys.selectExpr("xxhash64(left_key) as u", "xxhash64(right_key) as v")
+    c = Components(stage)
+    got = {r.v: r.root for r in c.labels(edges).collect()}
+    want = brute([(r.u, r.v) for r in edges.collect() if r.u != r.v])
+    groups = lambda m: {frozenset(v for v in m if m[v] == root) for root in set(m.values())}
+    assert c.rounds >= 2 and groups(got) == groups(want)
