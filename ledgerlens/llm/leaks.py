@@ -3,12 +3,15 @@
 Every text is cut into overlapping windows of twice the run length, so that any run of that many consecutive words
 lies in one window. A window's BM25 score for an item is the sum of the item's weights of the window's distinct
 words. An item's threshold is the least score of any of its own runs, so a window that holds a run can't score
-less: retrieval above the threshold loses nothing. Items are posted in blocks; a block whose sum of block maxima
-stays below its least threshold is skipped unscored (block-max WAND, for a batch of windows at once). What is
-retrieved is verified word by word.
+less: retrieval above the threshold loses nothing. What is retrieved is verified word by word.
 
-The index holds the items only. They are taken in blocks of ``block_items``, one pass over the corpus each, so what is
-broadcast is bounded whatever the number of items.
+The index has a posting list per term, in the order of the items and cut into blocks with their maxima. As in WAND, terms that together
+weigh less than an item's threshold can't bring it over (the pivot): an item is posted only under its other terms, the rare ones, and
+what the left-out terms can add is kept per item. A window first adds up the block maxima of its terms; blocks that stay below the
+least an item of theirs needs are skipped, the postings of the others are added up per item, and an item over its need is scored in full.
+
+The index holds the items only, which are few against the corpus: the driver collects at most ``items_at_once`` items and
+``chars_at_once`` characters, and workers read the index from one broadcast. The corpus is read and split into words once for that many items.
 
 Defined cases: null texts and ids, and items without words, give no rows; repeated rows of a text or item come out once;
 an empty corpus or item table gives no rows. Words are maximal runs of letters and digits in lower case.
@@ -27,37 +30,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-POSTING = 16  # items of a posting block
+BLOCK = 64  # items of a posting block at most
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and the range of each."""
+    size = stop - start
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size), owner
+
+
+def _sum_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, np.bincount(at, value, len(keys))
+
+
 class ItemIndex:
-    """Weights, block maxima and thresholds of a bounded block of items."""
+    """Posting lists, block maxima and thresholds of a bounded number of items. Flat arrays: a few tens of bytes a word of an item."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = 12, k1: float = 1.2, b: float = 0.75):
         self.run = run
         split = [(i, w) for i, t in items if (w := words(t))]
-        self.ids = [i for i, _ in split]
-        df = Counter(t for _, w in split for t in set(w))
-        self.terms = {t: n for n, t in enumerate(df)}
-        self.blocks = -(-len(split) // POSTING)
-        self.weight = np.zeros((len(self.terms), self.blocks, POSTING), np.float32)
-        self.threshold = np.full((self.blocks, POSTING), np.inf, np.float32)
-        self.runs: list[list[str]] = []
-        mean = sum(len(w) for _, w in split) / max(1, len(split))
-        for n, (_, w) in enumerate(split):
-            at = divmod(n, POSTING)
-            for t, tf in Counter(w).items():
-                idf = math.log(1 + (len(split) - df[t] + 0.5) / (df[t] + 0.5))
-                self.weight[self.terms[t], *at] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
-            own = [w[s : s + run] for s in range(max(1, len(w) - run + 1))]
-            self.threshold[at] = min(sum(float(self.weight[self.terms[t], *at]) for t in set(r)) for r in own) * (1 - 1e-4)
-            self.runs.append([f" {' '.join(r)} " for r in own])
-        self.block_max = self.weight.max(axis=2) if split else np.zeros((0, 0), np.float32)
-        self.block_least = self.threshold.min(axis=1) if split else np.zeros(0, np.float32)
+        self.ids, self.texts = [i for i, _ in split], [" ".join(w) for _, w in split]
+        n = len(split)
+        counts = Counter(t for _, w in split for t in set(w))
+        self.terms = {t: k for k, t in enumerate(sorted(counts))}
+        df = np.array([counts[t] for t in self.terms], float)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = sum(len(w) for _, w in split) / max(1, n)
+        need, posted, all_ = np.zeros(n), [], []
+        self.threshold = np.zeros(n)
+        for i, (_, w) in enumerate(split):
+            own = {t: idf[self.terms[t]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean)) for t, tf in Counter(w).items()}
+            self.threshold[i] = least = min(sum(own[t] for t in set(w[s : s + run])) for s in range(max(1, len(w) - run + 1))) * (1 - 1e-6)
+            left, ranked = 0.0, sorted(own, key=lambda t: (own[t], t))
+            while ranked and left + own[ranked[0]] < least:
+                left += own[ranked.pop(0)]
+            need[i] = least - left
+            posted += [(self.terms[t], i, own[t]) for t in ranked]
+            all_ += [(i * len(self.terms) + self.terms[t], x) for t, x in own.items()]
+        # every weight by (item, term), for the full score
+        all_.sort()
+        self.pair, self.weight = np.array([k for k, _ in all_], np.int64), np.array([x for _, x in all_], float)
+        # postings by term and item; blocks of neighbouring items, the same for all terms
+        posted.sort()
+        term, self.item, self.post = (np.array([p[k] for p in posted], t) for k, t in enumerate((np.int64, np.int64, float)))
+        self.need = need
+        self.block_need = np.minimum.reduceat(need, np.arange(0, n, BLOCK)) if n else need
+        cut = np.flatnonzero(np.diff(term * (n + 1) + self.item // BLOCK, prepend=-1)) if n else np.empty(0, np.int64)
+        self.block_start, self.block_stop = cut, np.append(cut[1:], len(term))
+        self.block, self.block_max = self.item[cut] // BLOCK, np.maximum.reduceat(self.post, cut) if n else self.post
+        self.list_start = np.searchsorted(term[cut], np.arange(len(self.terms)))
+        self.list_stop = np.searchsorted(term[cut], np.arange(len(self.terms)), "right")
+
+    def holds(self, text: str, item: int) -> bool:
+        w = self.texts[item].split(" ")
+        return any(f" {' '.join(w[s : s + self.run])} " in text for s in range(max(1, len(w) - self.run + 1)))
+
+    def retrieve(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that score at least the item's threshold; (window, term) are distinct and sorted."""
+        n_blocks, n, n_terms = len(self.block_need), len(self.ids), len(self.terms)
+        posted = self.list_stop[term] > self.list_start[term]
+        pw, pt = window[posted], term[posted]
+        at, owner = _spread(self.list_start[pt], self.list_stop[pt])
+        keys, bound = _sum_by(pw[owner] * n_blocks + self.block[at], self.block_max[at])
+        good = keys[bound >= self.block_need[keys % n_blocks] * (1 - 1e-9)]
+        kept = np.isin(pw[owner] * n_blocks + self.block[at], good)
+        at, owner = at[kept], owner[kept]
+        place, of = _spread(self.block_start[at], self.block_stop[at])
+        keys, score = _sum_by(pw[owner[of]] * n + self.item[place], self.post[place])
+        keys = keys[score >= self.need[keys % n] * (1 - 1e-9)]
+        if not len(keys):
+            return keys, keys
+        w, item = np.divmod(keys, n)
+        place, of = _spread(np.searchsorted(window, w), np.searchsorted(window, w, "right"))
+        key = item[of] * n_terms + term[place]
+        found = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        full = np.bincount(of, np.where(self.pair[found] == key, self.weight[found], 0.0), len(w))
+        ok = full >= self.threshold[item]
+        return w[ok], item[ok]
 
     def search(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place of a text, item id) of every leak."""
@@ -67,75 +123,59 @@ class ItemIndex:
         lookup = self.terms.get
         term = np.fromiter((lookup(w, -1) for ws in split for w in ws), np.int64)
         counts = np.array([len(ws) for ws in split])
-        doc = np.repeat(np.arange(len(split)), counts)
         place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
         windows = np.maximum(1, -(-counts // self.run))
         base = np.cumsum(windows) - windows
         ok = term >= 0
-        window = base[doc[ok]] + place[ok] // self.run
+        window = np.repeat(base, counts)[ok] + place[ok] // self.run
         earlier = place[ok] >= self.run  # a word also lies in the window before
         term = term[ok]
         pair = np.unique(np.concatenate([window, window[earlier] - 1]) * len(self.terms) + np.concatenate([term, term[earlier]]))
-        if not len(pair):
-            return []
-        window, term = np.divmod(pair, len(self.terms))
-        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-        bound = np.add.reduceat(self.block_max[term], first, axis=0)
-        n, block = np.nonzero(bound >= self.block_least)
-        if not len(n):
-            return []
-        last = np.append(first[1:], len(pair))
-        size = (last - first)[n]
-        rows = np.repeat(first[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        starts = np.cumsum(size) - size
-        score = np.add.reduceat(self.weight[term[rows], np.repeat(block, size)], starts, axis=0)
-        k, item = np.nonzero(score >= self.threshold[block])
-        owner = np.repeat(np.arange(len(split)), windows)[window[first[n[k]]]]
-        found = []
-        joined: dict[int, str] = {}
-        for d, i in sorted(set(zip(owner.tolist(), (block[k] * POSTING + item).tolist()))):
+        window, item = self.retrieve(*np.divmod(pair, len(self.terms)))
+        text = np.repeat(np.arange(len(split)), windows)[window]
+        found, joined = [], {}
+        for d, i in sorted(set(zip(text.tolist(), item.tolist()))):
             if d not in joined:
                 joined[d] = f" {' '.join(split[d])} "
-            if any(r in joined[d] for r in self.runs[i]):
+            if self.holds(joined[d], i):
                 found.append((d, self.ids[i]))
         return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", run: int = 12, block_items: int = 512) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", run: int = 12, items_at_once: int = 1 << 17, chars_at_once: int = 1 << 25) -> DataFrame:
     """(doc_id, item_id): texts that hold ``run`` consecutive words of an item, or all words of a shorter one."""
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
     clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
-    n = clean.count()
+    n, chars = clean.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     corpus = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     out = spark.createDataFrame([], schema)
-    parts = max(1, -(-n // block_items))
-    for part in range(parts if n else 0):
-        # a block at a time: about block_items rows reach the driver
-        own = sorted((r.i, r.t) for r in clean.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).collect())
+    parts = max(-(-n // items_at_once), -(-chars // chars_at_once))
+    for part in range(parts):
+        own = sorted((r.i, r.t) for r in clean.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect())
         shared = spark.sparkContext.broadcast(ItemIndex(own, run))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
 
-            def flush(ids, texts):
+            def flush(ids, texts, id_type):
                 hits = index.search(texts)
                 return pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in hits], id_type), pa.array([i for _, i in hits], pa.int64() if kinds[1] == "bigint" else None)], ["doc_id", "item_id"])
 
             for b in batches:
                 id_type = b.column(0).type
-                ids, texts, chars = [], [], 0
+                ids, texts, size = [], [], 0
                 for d, t in zip(b.column(0), b.column(1)):
                     t = t.as_py()
                     ids.append(d.as_py())
                     texts.append(t)
-                    chars += len(t)
-                    if chars > 2_000_000:
-                        yield flush(ids, texts)
-                        ids, texts, chars = [], [], 0
+                    size += len(t)
+                    if size > 1_000_000:
+                        yield flush(ids, texts, id_type)
+                        ids, texts, size = [], [], 0
                 if texts:
-                    yield flush(ids, texts)
+                    yield flush(ids, texts, id_type)
 
-        out = out.unionByName(corpus.mapInArrow(search, schema))
+        out = corpus.mapInArrow(search, schema) if parts == 1 else out.unionByName(corpus.mapInArrow(search, schema))
     return out.distinct()

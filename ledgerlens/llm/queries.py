@@ -159,4 +159,10 @@ SQL = {
     WITH i AS ({_ITEMS}), c AS (SELECT field_name, address, count(*) AS n FROM i GROUP BY field_name, address),
     s AS (SELECT *, sum(n) OVER (PARTITION BY field_name) AS total FROM c)
     SELECT field_name, address FROM s WHERE n >= 0.006 * total""",
+    "p9_found": r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+    runs AS (SELECT item_id, least(len(w), 12) AS n, unnest(list_transform(range(greatest(1, len(w) - 11)), lambda s: array_to_string(w[s + 1 : s + 12], ' '))) AS run FROM q WHERE len(w) > 0),
+    grams AS (SELECT doc_id, n, unnest(list_transform(range(len(w) - n + 1), lambda s: array_to_string(w[s + 1 : s + n], ' '))) AS run FROM w, (SELECT DISTINCT n FROM runs) WHERE len(w) >= n)
+    SELECT DISTINCT doc_id, item_id FROM grams JOIN runs USING (n, run)""",
 }

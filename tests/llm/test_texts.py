@@ -81,12 +81,42 @@ def test_leaks_against_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     item_frame = spark.createDataFrame([(*x, "t") for x in items], "item_id long, item_text string, text string")
     want = brute_leaks([x for x in docs if x[1]], [x for x in items if x[1]])
-    for block in (512, 7):
-        assert {tuple(r) for r in leaks.find_leaks(frame, item_frame, block_items=block).collect()} == want
+    for at_once in (1 << 17, 7):
+        assert {tuple(r) for r in leaks.find_leaks(frame, item_frame, items_at_once=at_once).collect()} == want
     assert leaks.find_leaks(frame.where("false"), item_frame).count() == 0
     assert leaks.find_leaks(frame, item_frame.where("false")).count() == 0
 
 
+def test_many_items_take_one_scan(spark):
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(9000)]
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else rng.choice(rare)
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 12, 14, 30])))) for i in range(5000)]
+    docs = []
+    for d in range(400):
+        w = [word() for _ in range(rng.randrange(150))]
+        if d % 2:
+            q = rng.choice(items)[1].split(" ")
+            s = rng.randrange(max(1, len(q) - 11))
+            w[len(w) // 2 : len(w) // 2] = q[s : s + 12 - (d % 4 == 1)]
+        docs.append((d, " ".join(w)))
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    runs = {}
+    for i, item in items:
+        q = item.split(" ")
+        for k in range(max(1, len(q) - 11)):
+            runs.setdefault(tuple(q[k : k + 12]), set()).add(i)
+    want = set()
+    for d, text in docs:
+        w = text.split(" ")
+        for n in {len(r) for r in runs}:
+            for k in range(len(w) - n + 1):
+                want |= {(d, i) for i in runs.get(tuple(w[k : k + n]), ())}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+
+
 TEXTS = {
     "prose": "The ferry was late, and nobody on the quay could say why it had not left. We waited for an hour.\nThen the captain came back with a lantern and told us that the tide was wrong.",
     "list": "- fee per byte\n- rename cluster 4\n- block 699425\n- output count\n- weight\n- change address",
