@@ -19,7 +19,7 @@ an empty corpus or item table gives no rows. Words are maximal runs of letters a
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-BLOCK = 64  # items of a posting block at most
+BLOCK = 16  # items of a posting block at most
+CELLS = 1 << 21  # windows x blocks that are bounded at once
 
 
 def words(text: str | None) -> list[str]:
@@ -44,19 +45,15 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size), owner
 
 
-def _sum_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their values."""
-    keys, at = np.unique(key, return_inverse=True)
-    return keys, np.bincount(at, value, len(keys))
-
-
 class ItemIndex:
     """Posting lists, block maxima and thresholds of a bounded number of items. Flat arrays: a few tens of bytes a word of an item."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = 12, k1: float = 1.2, b: float = 0.75):
         self.run = run
         split = [(i, w) for i, t in items if (w := words(t))]
-        self.ids, self.texts = [i for i, _ in split], [" ".join(w) for _, w in split]
+        self.ids = [i for i, _ in split]
+        self.length = [min(run, len(w)) for _, w in split]
+        self.runs = [frozenset(" ".join(w[s : s + run]) for s in range(max(1, len(w) - run + 1))) for _, w in split]
         n = len(split)
         counts = Counter(t for _, w in split for t in set(w))
         self.terms = {t: k for k, t in enumerate(sorted(counts))}
@@ -77,69 +74,90 @@ class ItemIndex:
         # every weight by (item, term), for the full score
         all_.sort()
         self.pair, self.weight = np.array([k for k, _ in all_], np.int64), np.array([x for _, x in all_], float)
+        self.table = None
+        if n * len(self.terms) <= CELLS:  # a plain table is small
+            self.table = np.zeros(n * len(self.terms))
+            self.table[self.pair] = self.weight
         # postings by term and item; blocks of neighbouring items, the same for all terms
         posted.sort()
         term, self.item, self.post = (np.array([p[k] for p in posted], t) for k, t in enumerate((np.int64, np.int64, float)))
-        self.need = need
-        self.block_need = np.minimum.reduceat(need, np.arange(0, n, BLOCK)) if n else need
+        self.need = np.concatenate([need * (1 - 1e-9), np.full(-n % BLOCK, np.inf)])
+        self.block_need = self.need.reshape(-1, BLOCK).min(axis=1)
         cut = np.flatnonzero(np.diff(term * (n + 1) + self.item // BLOCK, prepend=-1)) if n else np.empty(0, np.int64)
         self.block_start, self.block_stop = cut, np.append(cut[1:], len(term))
         self.block, self.block_max = self.item[cut] // BLOCK, np.maximum.reduceat(self.post, cut) if n else self.post
         self.list_start = np.searchsorted(term[cut], np.arange(len(self.terms)))
         self.list_stop = np.searchsorted(term[cut], np.arange(len(self.terms)), "right")
 
-    def holds(self, text: str, item: int) -> bool:
-        w = self.texts[item].split(" ")
-        return any(f" {' '.join(w[s : s + self.run])} " in text for s in range(max(1, len(w) - self.run + 1)))
+    def _weights(self, key: np.ndarray) -> np.ndarray:
+        """The weight of each item x terms + term, 0 where the item hasn't the term."""
+        if self.table is not None:
+            return self.table[key]
+        found = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[found] == key, self.weight[found], 0.0)
 
     def retrieve(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs that score at least the item's threshold; (window, term) are distinct and sorted."""
-        n_blocks, n, n_terms = len(self.block_need), len(self.ids), len(self.terms)
-        posted = self.list_stop[term] > self.list_start[term]
-        pw, pt = window[posted], term[posted]
-        at, owner = _spread(self.list_start[pt], self.list_stop[pt])
-        keys, bound = _sum_by(pw[owner] * n_blocks + self.block[at], self.block_max[at])
-        good = keys[bound >= self.block_need[keys % n_blocks] * (1 - 1e-9)]
-        kept = np.isin(pw[owner] * n_blocks + self.block[at], good)
-        at, owner = at[kept], owner[kept]
-        place, of = _spread(self.block_start[at], self.block_stop[at])
-        keys, score = _sum_by(pw[owner[of]] * n + self.item[place], self.post[place])
-        keys = keys[score >= self.need[keys % n] * (1 - 1e-9)]
-        if not len(keys):
-            return keys, keys
-        w, item = np.divmod(keys, n)
-        place, of = _spread(np.searchsorted(window, w), np.searchsorted(window, w, "right"))
+        """(window, item) pairs that score at least the item's threshold; (window, term) are distinct and sorted by window."""
+        step = max(1, CELLS // len(self.block_need))
+        edges = np.searchsorted(window, np.arange(window[0], window[-1] + step + 1, step)) if len(window) else [0]
+        found = [self._retrieve(window[lo:hi], term[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:]) if hi > lo]
+        return tuple(np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in range(2))
+
+    def _retrieve(self, window: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n_blocks, n_terms, base = len(self.block_need), len(self.terms), window[0]
+        span = int(window[-1] - base) + 1
+        # blocks: the sum of the maxima of a window's terms
+        at, owner = _spread(self.list_start[term], self.list_stop[term])
+        cell = (window[owner] - base) * n_blocks + self.block[at]
+        bound = np.bincount(cell, self.block_max[at], span * n_blocks)
+        good = bound >= np.tile(self.block_need, span)
+        number = np.cumsum(good) - 1
+        kept = good[cell]
+        # items of the blocks that are left
+        place, of = _spread(self.block_start[at[kept]], self.block_stop[at[kept]])
+        where = np.flatnonzero(good)
+        score = np.bincount(number[cell[kept]][of] * BLOCK + self.item[place] % BLOCK, self.post[place], len(where) * BLOCK)
+        need = self.need[(where[:, None] % n_blocks) * BLOCK + np.arange(BLOCK)].ravel()
+        hit = np.flatnonzero(score >= need)
+        w, item = where[hit // BLOCK] // n_blocks, (where[hit // BLOCK] % n_blocks) * BLOCK + hit % BLOCK
+        # the full score of those
+        first = np.searchsorted(window, np.arange(base, base + span + 1))
+        place, of = _spread(first[w], first[w + 1])
         key = item[of] * n_terms + term[place]
-        found = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        full = np.bincount(of, np.where(self.pair[found] == key, self.weight[found], 0.0), len(w))
+        full = np.bincount(of, self._weights(key), len(w))
         ok = full >= self.threshold[item]
-        return w[ok], item[ok]
+        return w[ok] + base, item[ok]
 
     def search(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place of a text, item id) of every leak."""
         if not self.ids:
             return []
+        run = self.run
         split = [words(t) for t in texts]
-        lookup = self.terms.get
-        term = np.fromiter((lookup(w, -1) for ws in split for w in ws), np.int64)
+        term = np.array([*map(self.terms.get, itertools.chain.from_iterable(split), itertools.repeat(-1))], np.int64)
         counts = np.array([len(ws) for ws in split])
         place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
-        windows = np.maximum(1, -(-counts // self.run))
+        windows = np.maximum(1, -(-counts // run))
         base = np.cumsum(windows) - windows
         ok = term >= 0
-        window = np.repeat(base, counts)[ok] + place[ok] // self.run
-        earlier = place[ok] >= self.run  # a word also lies in the window before
+        window = np.repeat(base, counts)[ok] + place[ok] // run
+        earlier = place[ok] >= run  # a word also lies in the window before
         term = term[ok]
         pair = np.unique(np.concatenate([window, window[earlier] - 1]) * len(self.terms) + np.concatenate([term, term[earlier]]))
         window, item = self.retrieve(*np.divmod(pair, len(self.terms)))
         text = np.repeat(np.arange(len(split)), windows)[window]
-        found, joined = [], {}
-        for d, i in sorted(set(zip(text.tolist(), item.tolist()))):
-            if d not in joined:
-                joined[d] = f" {' '.join(split[d])} "
-            if self.holds(joined[d], i):
-                found.append((d, self.ids[i]))
-        return found
+        found, grams, last = set(), {}, -1
+        for d, w, i in zip(text.tolist(), window.tolist(), item.tolist()):
+            if (d, self.ids[i]) in found:
+                continue
+            if w != last:
+                last, grams, own = w, {}, split[d][(w - base[d]) * run : (w - base[d] + 2) * run]
+            n = self.length[i]
+            if n not in grams:
+                grams[n] = {" ".join(own[s : s + n]) for s in range(len(own) - n + 1)}
+            if not grams[n].isdisjoint(self.runs[i]):
+                found.add((d, self.ids[i]))
+        return sorted(found)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", run: int = 12, items_at_once: int = 1 << 17, chars_at_once: int = 1 << 25) -> DataFrame:
