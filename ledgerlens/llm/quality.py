@@ -1,16 +1,18 @@
 """Statistics of texts that tell prose from lists, tables and junk.
 
 Texts are cut into chunks (at a place that splits no word of ordinary length), each chunk gives counts, and the counts
-of a text's chunks are merged in order. A chunk's state is a monoid: the sums over its complete lines, and the counts of
+of a text's chunks are merged in order, in a tree. A chunk's state is a monoid: the sums over its complete lines, and the counts of
 the unfinished lines at its two ends; merging joins one's last line to the other's first. Only when a line is complete is it
-taken for a sentence line, a row, an entry or something else. Distinct words, and distinct pairs of ideographs, kana or hangul (which
+taken for running words, a row, an entry or something else. Distinct words, and distinct pairs of ideographs, kana or the like (which
 have no blanks between words), are counted in a bit map each; they merge by OR.
 
-Every line is judged by its words, common words of several languages, cell separators and digits:
-- a sentence line has 5 words or more (8 after a list mark), at least 12 % of them common words, or 6 ideographs or kana;
+No language is known beforehand. A line is judged by its structure:
+- running words: 5 words or more (8 after a list mark), more than 3 for each separated piece, few digits; or 6 characters of a script without blanks;
 - a row has separators between cells of 4 words at most;
 - an entry has at most 7 words, or a list mark.
-A text is then judged by the characters in each kind of line; see ``judge``.
+Running words are sentences if the text ends them with stops, or if many of them are short: in nearly all languages with blanks
+particles, articles and prepositions of up to three letters make up more than a tenth of the words. See ``judge``. Common words, for their share among the statistics,
+are those in most documents of the corpus (``common_words``); the kinds don't depend on them.
 
 Defined cases: null, empty and blank texts have statistics of 0 and no kind; each row of the input is judged by itself, repeated
 ids included; other columns are ignored.
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,55 +31,70 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common words of the languages in the corpus.
-COMMON = {
-    "en": "the a an of to and in is it that for on as with at by from this be are was were not or but we they i you he she its if so has have had will would do does did what which who how when where than then there here about into over after before up out no all some any each other more most our your their them us me my his her can could should may might just only very also too because while without between until though although whether nobody how our",
-    "de": "der die das und ist nicht ein eine von zu den dem mit für auf im in wir es als auch an bei nach so wie aus wer aber oder noch nur man einer einen des sich hat haben wird wenn dann über weil zum zur denn dass vor was am vom liegt ihr eher sehr war ohne",
-    "es": "el la los las de que y en un una por con para se no es lo su al del como más pero si ya fue le les está son sigue porque cada sin sobre todo sus han hay qué quién quien habría",
-    "fr": "le la les des de et est un une dans pour pas nous vous sur avec que qui du au ce cette il elle on mais ou où a été plus à en d'où qu'il c'est l'an ça sont être entre sans trop ces aux j' dès même si ne se son sa ses",
-    "pt": "o os as um uma não e em para com se na no da do dos das que foi mais como mas por os ou ao à às pela pelo sem depois ainda nenhum quem sabe só",
-    "ru": "и в не на что мы это с как а за из но то у к о от до при уже все ещё раз ничего после там слишком пока никто если больше чем раньше всех этой был была были его их она он они по",
-}
-_COMMON = frozenset(w for words in COMMON.values() for w in words.split())
-_WORD = re.compile(r"\w+(?:[-'’/]\w+)*")
+from ledgerlens.sources.tables import Stage
+
+
+def _marks() -> str:
+    """Character class ranges of all combining marks, which Python's \\w leaves out; many scripts need them within words."""
+    codes = [c for c in range(0x300, min(sys.maxunicode, 0x1FFFF)) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+_W = rf"[\w{_marks()}]"
+_WORD = re.compile(rf"{_W}+(?:[-'’/]{_W}+)*")
+_ASCII_WORD = re.compile(r"\w+(?:[-'/]\w+)*")
+_PIECE, _GAP = re.compile(r'[|│]|;\s|,\s|" "'), re.compile(r"\t|\s{2,}")
 _CELL = re.compile(r'\t|[|│]|;\s?|,\s?|\s{2,}|" "')
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-z]{2,8};|\{[^{}\n]{0,200}\}")
 _BROKEN = re.compile(r"[\x80-\x9f�]|[ÃÂÐÑâæåèéäçï][\x80-\xbf]")
-_WIDE_RUN = re.compile(r"[぀-ヿ㐀-鿿가-힯]+")
+# scripts without blanks between words: kana, ideographs, hangul (short words), Thai, Lao, Myanmar, Khmer, Tibetan
+_WIDE_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u0f00-\u0fff]+")
 _MARK = re.compile(r"\s*([-*+•·–▪‣◦]|\[[ xX]\]|\(?\w{1,2}[.)])\s")
-_BREAK = re.compile(r"[\r\n\v\f\x85  ]")
+_BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]")
 _BLANK = re.compile(r"\s+")
-_STOPS = ".!?…。！？:;»”\"'"
+_DIGITS = re.compile(r"\d+")
+_OTHER, _ASCII_OTHER = re.compile(rf"[^\w{_marks()}]+|_+"), re.compile(r"[\W_]+")
+#: A sentence's end: a stop after a word, before a blank, a closing sign or the end, or a stop that needs no blank.
+_END = re.compile(rf"[\w{_marks()}%][\"'”’»)\]]*[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？।॥؟։።]")
+_STOPS = ".!?…。！？：;»”\"'।॥؟։።"
 
 CHUNK, SEAM, BITS = 1 << 18, 256, 2048
 #: Counts of a line, in order. ``marked`` counts list marks at a line's start, ``stop`` sentence ends at its end.
-LINE = ("chars", "words", "letters", "common", "alnum", "digits", "wide", "markup", "broken", "long", "cells", "marked", "stop")
+LINE = ("chars", "words", "letters", "common", "short", "alnum", "digits", "wide", "markup", "broken", "long", "cells", "pieces", "gaps", "ends", "marked", "stop")
 #: Sums of a text: those of its lines, the number of lines, and lines and characters of each kind.
-TEXT = (*LINE, "lines", "sentence_lines", "row_lines", "entry_lines", "sentence_chars", "row_chars", "entry_chars")
+TEXT = (*LINE, "lines", "sentence_lines", "row_lines", "entry_lines", "sentence_chars", "row_chars", "entry_chars", "running", "running_short", "running_ends")
 _AT = {k: i for i, k in enumerate(TEXT)}
 
 
-def _line(text: str, start: bool, seen: set[str], pairs: set[str]) -> list[int]:
+def _line(text: str, start: bool, seen: set[str], pairs: set[str], common: frozenset[str]) -> list[int]:
     """The counts of a line, or of a part of it; only a part from the line's start can have a list mark."""
     mark = _MARK.match(text) if start else None
-    found = _WORD.findall((text[mark.end() :] if mark else text).lower())
-    seen.update(found)
     bare = text.strip()
-    wide = _WIDE_RUN.findall(text)
+    plain = text.isascii()
+    found = (_ASCII_WORD if plain else _WORD).findall((text[mark.end() :] if mark else text).lower())
+    seen.update(found)
+    wide = [] if plain else _WIDE_RUN.findall(text)
     for run in wide:
         pairs.update(map("".join, zip(run, run[1:])) if len(run) > 1 else run)
+    sizes = list(map(len, found))
     return [
         len(_BLANK.sub("", text)),
         len(found),
-        sum(map(len, found)),
-        sum(w in _COMMON for w in found),
-        sum(map(str.isalnum, text)),
-        sum(map(str.isdigit, text)),
+        sum(sizes),
+        sum(map(common.__contains__, found)) if common else 0,
+        sum(n <= 3 and not any(map(str.isdigit, w)) for w, n in zip(found, sizes)),
+        len((_ASCII_OTHER if plain else _OTHER).sub("", text)),
+        sum(map(len, _DIGITS.findall(text))),
         sum(map(len, wide)),
-        sum(map(len, _MARKUP.findall(text))),
-        sum(map(len, _BROKEN.findall(text))),
-        sum(len(w) for w in found if len(w) >= 24),
+        sum(map(len, _MARKUP.findall(text))) if "<" in text or "&" in text or "{" in text else 0,
+        0 if plain else sum(map(len, _BROKEN.findall(text))),
+        sum(n for n in sizes if n >= 24),
         len(_CELL.findall(bare.strip("|│"))),
+        len(_PIECE.findall(bare.strip("|│"))),
+        len(_GAP.findall(bare)),
+        len(_END.findall(bare)),
         int(bool(mark)),
         int(bare[-1:] in _STOPS and bare != ""),
     ]
@@ -92,14 +111,17 @@ def _join(a: list[int], b: list[int]) -> list[int]:
 
 def _close(total: list[int], line: list[int]) -> None:
     """Adds a complete line to the sums."""
-    chars, n, common, digits, wide, cells, marked = (line[_AT[k]] for k in ("chars", "words", "common", "digits", "wide", "cells", "marked"))
+    chars, n, short, digits, wide, cells, pieces, gaps, ends, marked = (line[_AT[k]] for k in ("chars", "words", "short", "digits", "wide", "cells", "pieces", "gaps", "ends", "marked"))
     if not chars:
         return
     for i, x in enumerate(line):
         total[i] += x
     total[_AT["lines"]] += 1
-    if (n >= (8 if marked else 5) and common >= 0.12 * n) or wide >= 6:
+    loose = short >= 0.2 * n and digits <= 0.1 * chars  # odd spacing in a sentence, not columns
+    if (n >= (8 if marked else 5) and n > 3 * (pieces + (0 if loose else gaps) + 1) and digits <= 0.3 * chars) or wide >= 6:
         kind = "sentence"
+        for k, x in (("running", n), ("running_short", short), ("running_ends", ends)):
+            total[_AT[k]] += x
     elif cells and (digits > 0.12 * chars or cells >= 2) and n <= 4 * (cells + 1):
         kind = "row"
     elif n <= 7 or marked:
@@ -110,25 +132,27 @@ def _close(total: list[int], line: list[int]) -> None:
     total[_AT[f"{kind}_chars"]] += chars
 
 
-def chunk_state(text: str) -> tuple[list[int], list[int], list[int], bool, bytes]:
+def _bits(items: set[str]) -> int:
+    out = bytearray(BITS // 8)
+    for w in items:
+        k = zlib.crc32(w.encode("utf-8", "replace")) % BITS
+        out[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(out, "little")
+
+
+def chunk_state(text: str, common: frozenset[str] = frozenset(), begin: bool = True) -> tuple[list[int], list[int], list[int], bool, bytes]:
     """(sums of the complete lines, first line, last line, whether there is a line break, bit maps of words and wide pairs).
 
-    Without a line break all counts are in the first line.
+    Without a line break all counts are in the first line. ``begin`` tells that the first line starts here.
     """
     total, seen, pairs = [0] * len(TEXT), set(), set()
     lines = _BREAK.split(text)
-    # the first line may go on from another chunk; whether it starts here is known at the merge, a mark is kept in any case
-    first = _line(lines[0], True, seen, pairs)
-    last = _line(lines[-1], True, seen, pairs) if len(lines) > 1 else [0] * len(LINE)
+    first = _line(lines[0], begin, seen, pairs, common)
+    last = _line(lines[-1], True, seen, pairs, common) if len(lines) > 1 else [0] * len(LINE)
     for line in lines[1:-1]:
         if line:
-            _close(total, _line(line, True, seen, pairs))
-    bits = 0
-    for w in seen:
-        bits |= 1 << (zlib.crc32(w.encode("utf-8", "replace")) % BITS)
-    for w in pairs:
-        bits |= 1 << (BITS + zlib.crc32(w.encode("utf-8", "replace")) % BITS)
-    return total, first, last, len(lines) > 1, bits.to_bytes(BITS // 4, "little")
+            _close(total, _line(line, True, seen, pairs, common))
+    return total, first, last, len(lines) > 1, (_bits(seen) | _bits(pairs) << BITS).to_bytes(BITS // 4, "little")
 
 
 def merge_states(a, b):
@@ -173,6 +197,9 @@ def finish(state) -> dict[str, float]:
         "sentence_lines": t["sentence_lines"],
         "row_lines": t["row_lines"],
         "entry_lines": t["entry_lines"],
+        "short_share": t["running_short"] / max(1, t["running"]),
+        "n_ends": t["running_ends"],
+        "words_an_end": t["running"] / t["running_ends"] if t["running_ends"] else 0.0,
     }
 
 
@@ -189,8 +216,11 @@ def judge(s: dict[str, float]) -> str | None:
     repeated = _repeated(s["n_words"], s["distinct_share"] * s["n_words"]) or (s["wide_share"] > 0.5 and _repeated(s["wide_share"] * s["n_chars"], s["distinct_pairs"]))
     if s["broken_share"] > 0.04 or s["markup_share"] > 0.3 or s["symbol_share"] > 0.8 or repeated:
         return "junk"
-    listed = s["entry_lines"] >= 5 and s["entry_lines"] >= 2 * s["sentence_lines"]  # a long passage among entries
-    if s["sentence_share"] >= (0.8 if listed else 0.5) and (s["common_share"] >= 0.12 or s["wide_share"] > 0.3):
+    listed = s["entry_lines"] >= 5 and s["entry_lines"] >= 2 * s["sentence_lines"] and s["entry_share"] >= 0.15  # a long passage among entries
+    if s["symbol_share"] > 0.2 and s["row_share"] + s["entry_share"] < 0.5:
+        return "junk"
+    ended = 0 < s["words_an_end"] <= 25 and (s["short_share"] >= 0.1 or s["n_ends"] >= 2)
+    if s["sentence_share"] >= (0.8 if listed else 0.5) and (s["short_share"] >= 0.15 or ended or s["wide_share"] > 0.3):
         return "prose"
     if s["long_share"] > 0.5:
         return "junk"
@@ -201,7 +231,8 @@ def judge(s: dict[str, float]) -> str | None:
     return "list" if s["entry_share"] + s["row_share"] + (s["sentence_share"] if listed else 0) >= 0.5 else "junk"
 
 
-STATS_SCHEMA = "n_words bigint, n_lines bigint, n_chars bigint, mean_word_length double, symbol_share double, digit_share double, stop_line_share double, common_share double, distinct_share double, distinct_pairs double, wide_share double, markup_share double, broken_share double, long_share double, sentence_share double, row_share double, entry_share double, sentence_lines bigint, row_lines bigint, entry_lines bigint"
+STATS = {k: "bigint" if k.startswith("n_") or k.endswith("_lines") else "double" for k in finish(chunk_state(""))}
+_FIELDS = ("total", "first", "last", "broken", "bits")
 _STATE = "total array<bigint>, first array<bigint>, last array<bigint>, broken boolean, bits binary"
 
 
@@ -217,31 +248,71 @@ def _cut(text: str, begin: bool, end: bool) -> str:
     return text[lo:hi]
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, statistics..., kind): one row per row of ``docs``."""
+def common_words(docs: DataFrame, text_col: str = "text", n: int = 500) -> list[str]:
+    """The ``n`` words of up to 12 letters that stand in most documents, over all documents. Only these reach the driver."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![\p{L}\p{M}\p{N}_])[\p{L}\p{M}]{1,12}(?![\p{L}\p{M}\p{N}_])"), F.lit(0)))
+    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(found).alias("w"))
+    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).collect()]
+
+
+def text_statistics(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", common: list[str] | None = None) -> DataFrame:
+    """(id_col, statistics..., kind): one row per row of ``docs``. ``common_share`` is 0 without ``common`` words.
+
+    The texts are read once; those of one chunk, nearly all, are finished where they are. The chunks of the others are spread over the
+    tasks, and their states merged in a tree of 256 branches, of which two levels hold any string.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK))).cast("int"))
-    cut = lambda df: df.select("row", "id", "chunks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.substring("text", k * CHUNK + 1, F.lit(CHUNK + SEAM)))).alias("k", "part"))
-    # the chunks of a huge text are spread over tasks; texts of one chunk stay where they are
-    chunks = rows.where("chunks = 1").select("row", "id", "chunks", F.lit(0).alias("k"), F.col("text").alias("part")).unionByName(cut(rows.where("chunks > 1")).repartition("row", "k"))
+    known = frozenset(common or ())
+    stats = [*STATS, "kind"]
+    stats_schema = ", ".join(f"{k} {t}" for k, t in STATS.items()) + ", kind string"
+    length = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    chunks = F.greatest(F.lit(1), F.ceil(length / F.lit(CHUNK))).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), chunks.alias("chunks")).withColumn("row", F.monotonically_increasing_id())
+    parts = rows.select("row", "id", "chunks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.substring("text", k * CHUNK + 1, F.lit(CHUNK + SEAM)))).alias("k", "part"))
+
+    def measured(state) -> dict:
+        s = finish(state)
+        return s | {"kind": judge(s)}
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            one = pdf["chunks"] == 1
+            done = pd.DataFrame([measured(chunk_state(t, known)) for t in pdf["part"][one]], columns=stats)
+            yield pd.concat([pdf[one][["row", "id", "chunks", "k"]].reset_index(drop=True).assign(part=None), done], axis=1)
+            if not one.all():
+                yield pdf[~one][["row", "id", "chunks", "k", "part"]].assign(**dict.fromkeys(stats))
+
+    scanned = stage.put(parts.mapInPandas(first, f"row bigint, id {kind}, chunks int, k int, part string, {stats_schema}"))
+    short = scanned.where("chunks = 1").select("id", *stats)
+    long = scanned.where("chunks > 1").select("row", "id", "chunks", "k", "part")
+    if long.isEmpty():
+        return short.withColumnRenamed("id", id_col)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            states = [chunk_state(_cut(p, k == 0, k == n - 1)) for p, k, n in zip(pdf["part"], pdf["k"], pdf["chunks"])]
-            yield pdf[["row", "id", "k"]].assign(**{c: [s[i] for s in states] for i, c in enumerate(("total", "first", "last", "broken", "bits"))})
+            states = [chunk_state(_cut(p, k == 0, k == n - 1), known, k == 0) for p, k, n in zip(pdf["part"], pdf["k"], pdf["chunks"])]
+            yield pdf[["row", "id", "k"]].assign(**{c: [s[i] for s in states] for i, c in enumerate(_FIELDS)})
 
-    states = chunks.mapInPandas(count, f"row bigint, id {kind}, k int, {_STATE}")
-    texts = states.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("k", "total", "first", "last", "broken", "bits"))).alias("states"))
+    def merged(parts) -> tuple:
+        parts = [tuple(p[c] for c in _FIELDS) for p in parts]
+        while len(parts) > 1:  # merging is associative
+            parts = [merge_states(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def branch(df: DataFrame, *key) -> DataFrame:
+        return df.groupBy("row", *key).agg(F.first("id").alias("id"), F.min("k").alias("k"), F.sort_array(F.collect_list(F.struct("k", *_FIELDS))).alias("states"))
+
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            states = [merged(p) for p in pdf["states"]]
+            yield pdf[["row", "id", "k"]].assign(**{c: [s[i] for s in states] for i, c in enumerate(_FIELDS)})
+
+    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for parts in pdf["states"]:
-                parts = [(p["total"], p["first"], p["last"], p["broken"], p["bits"]) for p in parts]
-                while len(parts) > 1:  # as a tree; merging is associative
-                    parts = [merge_states(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-                s = finish(parts[0])
-                out.append(s | {"kind": judge(s)})
-            yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-    return texts.select("id", "states").mapInPandas(merge, f"id {kind}, {STATS_SCHEMA}, kind string").withColumnRenamed("id", id_col)
+            yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame([measured(merged(p)) for p in pdf["states"]], columns=stats)], axis=1)
+
+    state_schema = f"row bigint, id {kind}, k int, {_STATE}"
+    states = long.repartition("row", "k").mapInPandas(count, state_schema)
+    half = branch(states, F.floor(F.col("k") / 256)).select("row", "id", "k", "states").mapInPandas(inner, state_schema)
+    whole = branch(half).select("id", "states").mapInPandas(root, f"id {kind}, {stats_schema}")
+    return short.unionByName(whole).withColumnRenamed("id", id_col)

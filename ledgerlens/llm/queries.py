@@ -111,12 +111,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
-    return quality.text_statistics(read_table(spark, d, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+    return quality.text_statistics(read_table(spark, d, "documents"), Stage(spark)).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics and kind of every document."""
-    return quality.text_statistics(read_table(spark, d, "documents"))
+    """Statistics and kind of every document; common words are the corpus's own."""
+    docs = read_table(spark, d, "documents")
+    return quality.text_statistics(docs, Stage(spark), common=quality.common_words(docs))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}

@@ -149,13 +149,72 @@ def test_short_sentences_are_prose(text):
     assert quality.judge(quality.finish(quality.chunk_state(text))) == "prose"
 
 
+#: Plain sentences in languages and scripts that no rule was made for.
+SENTENCES = {
+    "tr": "Dün akşam eski limana gittik ve uzun süre denizi seyrettik. Hava soğuktu ama kimse eve dönmek istemedi. Sonunda küçük bir lokantada çorba içtik.",
+    "ar": "ذهبنا أمس إلى السوق القديم واشترينا بعض الكتب. كان الجو حارا جدا، ولكننا بقينا هناك حتى المساء. ثم عدنا إلى البيت متعبين.",
+    "hi": "कल शाम हम पुराने बाज़ार गए और वहाँ बहुत देर तक घूमते रहे। मौसम ठंडा था, लेकिन किसी को घर लौटने की जल्दी नहीं थी। अंत में हमने एक छोटी दुकान पर चाय पी।",
+    "sv": "Igår kväll gick vi ner till den gamla hamnen. Det blåste hårt och ingen av oss hade tagit med sig en varm jacka. Ändå stannade vi kvar tills solen hade gått ner.",
+    "en": "The city council approved a new budget on Tuesday. Local shops expect higher rents next year. Several members voted against the plan. A final decision is due in March.",
+    "it": "Ieri sera siamo andati al porto vecchio. Faceva freddo, ma nessuno voleva tornare a casa. Alla fine abbiamo mangiato una zuppa.",
+    "pl": "Wczoraj wieczorem poszliśmy do starego portu. Było zimno, ale nikt nie chciał wracać do domu.",
+    "fi": "Eilen illalla kävelimme vanhaan satamaan ja katselimme merta pitkään. Ilma oli kylmä, mutta kukaan ei halunnut lähteä kotiin.",
+    "el": "Χθες το βράδυ πήγαμε στο παλιό λιμάνι. Έκανε κρύο, αλλά κανείς δεν ήθελε να γυρίσει σπίτι.",
+    "th": "เมื่อวานเย็นเราไปที่ท่าเรือเก่าและนั่งดูทะเลอยู่นาน อากาศหนาวแต่ไม่มีใครอยากกลับบ้าน",
+    "hu": "Tegnap este lementünk a régi kikötőbe. Hideg volt, de senki sem akart hazamenni. Végül egy kis vendéglőben ettünk levest.",
+    "ta": "நேற்று மாலை நாங்கள் பழைய துறைமுகத்திற்குச் சென்றோம். குளிராக இருந்தது, ஆனால் யாரும் வீட்டிற்குத் திரும்ப விரும்பவில்லை.",
+    "he": "אתמול בערב הלכנו לנמל הישן וישבנו שם שעה ארוכה. היה קר, אבל אף אחד לא רצה לחזור הביתה.",
+    "vi": "Tối hôm qua chúng tôi đi xuống bến cảng cũ. Trời lạnh nhưng không ai muốn về nhà.",
+    "id": "Kemarin malam kami pergi ke pelabuhan tua. Cuaca dingin, tetapi tidak ada yang ingin pulang.",
+}
+
+
+@pytest.mark.parametrize("language", sorted(SENTENCES))
+def test_sentences_of_any_language_are_prose(language):
+    assert quality.judge(quality.finish(quality.chunk_state(SENTENCES[language]))) == "prose"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("ekmek\nsüt\npeynir\nzeytin\nçay\nşeker", "list"),
+        ("wallet node hash script weight block node profile vbyte weight scaled script key centroid cluster seed cluster shard dust median.", "junk"),
+        ("old harbour, hot wallet, the salt road; seven boats, night market, lamp oil; two keys, blue door, the mill", "list"),
+        ("We  went\tdown to  the old\tharbour and  it was so  cold\tthat no one  of us\thad a word  to say.", "prose"),
+        ("k=2$ z&1(q* x^%a 9!f~ #@p o)w_ =e+ t5$ &&n ^r* d(4 h!~ @m% u#c =g+ b)_ y&7", "junk"),
+    ],
+)
+def test_structure_decides(text, kind):
+    assert quality.judge(quality.finish(quality.chunk_state(text))) == kind
+
+
+def test_a_mark_within_a_line_is_none_at_a_seam():
+    assert quality.chunk_state("- and so on it went", begin=False)[1][quality.LINE.index("marked")] == 0
+    assert quality.chunk_state("- and so on it went")[1][quality.LINE.index("marked")] == 1
+
+
+def test_common_words_stand_in_many_documents(spark):
+    df = spark.createDataFrame([("the fee the fee the fee",), ("The cat",), ("a cat b1c the_x",), (None,)], "text string")
+    assert quality.common_words(df, n=2) == ["cat", "the"]
+
+
+def test_huge_texts_are_cut_and_short_ones_read_once(spark, stage):
+    line = "It was late, and we had to find the way back to the old harbour in the dark.\n"
+    rng = random.Random(5)
+    long = "".join(f"{rng.randrange(10**6)} {line}" for _ in range(8000))
+    df = spark.createDataFrame([(1, long), (2, line)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.text_statistics(df, stage, common=["the"]).collect()}
+    want = quality.finish(quality.chunk_state(long, frozenset(["the"])))
+    assert len(long) > 2 * quality.CHUNK and {k: got[1][k] for k in want} == want and got[2].n_lines == 1
+
+
 def test_merging_is_associative_and_equals_the_whole():
     rng = random.Random(4)
     for text in TEXTS.values():
         w = text.split(" ")
         cut = sorted(rng.sample(range(1, len(w)), min(3, len(w) - 1)))
         parts = [" " * bool(i) + " ".join(w[a:b]) for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(w)]))]
-        states = [quality.chunk_state(p) for p in parts]
+        states = [quality.chunk_state(p, begin=not i) for i, p in enumerate(parts)]
         left = states[0]
         for s in states[1:]:
             left = quality.merge_states(left, s)
@@ -166,11 +225,11 @@ def test_merging_is_associative_and_equals_the_whole():
         assert quality.finish(left) == quality.finish(quality.chunk_state(text))
 
 
-def test_statistics_frame(spark, monkeypatch):
+def test_statistics_frame(spark, stage):
     rows = [(1, TEXTS["prose"]), (1, TEXTS["list"]), (2, ""), (3, None), (4, " \n "), (5, (TEXTS["prose"] + "\n") * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as kind", "3 as row")
-    got = sorted(((r.doc_id, r.kind, r.n_words) for r in quality.text_statistics(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.kind, r.n_words) for r in quality.text_statistics(df, stage).collect()), key=str)
     n = quality.finish(quality.chunk_state(TEXTS["prose"]))["n_words"]
     assert (1, "prose", n) in got and [g for g in got if g[0] in (2, 3, 4)] == [(2, None, 0), (3, None, 0), (4, None, 0)]
     assert (5, "junk", n * 3000) in got and sum(g[0] == 1 for g in got) == 2
-    assert quality.text_statistics(df.where("false")).count() == 0
+    assert quality.text_statistics(df.where("false"), stage).count() == 0
