@@ -21,6 +21,7 @@ ids included; other columns are ignored.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import sys
 import unicodedata
@@ -45,17 +46,16 @@ def _marks() -> str:
 _W = rf"[\w{_marks()}]"
 _WORD = re.compile(rf"{_W}+(?:[-'’/]{_W}+)*")
 _ASCII_WORD = re.compile(r"\w+(?:[-'/]\w+)*")
-_PIECE, _GAP = re.compile(r'[|│]|;\s|,\s|" "'), re.compile(r"\t|\s{2,}")
-_CELL = re.compile(r'\t|[|│]|;\s?|,\s?|\s{2,}|" "')
+_GAP = re.compile(r"\t|\s{2,}")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-z]{2,8};|\{[^{}\n]{0,200}\}")
 _BROKEN = re.compile(r"[\x80-\x9f�]|[ÃÂÐÑâæåèéäçï][\x80-\xbf]")
 # scripts without blanks between words: kana, ideographs, hangul (short words), Thai, Lao, Myanmar, Khmer, Tibetan
 _WIDE_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u0f00-\u0fff]+")
 _MARK = re.compile(r"\s*([-*+•·–▪‣◦]|\[[ xX]\]|\(?\w{1,2}[.)])\s")
 _BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]")
-_BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-_OTHER, _ASCII_OTHER = re.compile(rf"[^\w{_marks()}]+|_+"), re.compile(r"[\W_]+")
+_OTHER = re.compile(rf"[^\w{_marks()}]+|_+")
+_ASCII_OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
 #: A sentence's end: a stop after a word, before a blank, a closing sign or the end, or a stop that needs no blank.
 _END = re.compile(rf"[\w{_marks()}%][\"'”’»)\]]*[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？।॥؟։።]")
 _STOPS = ".!?…。！？：;»”\"'।॥؟։።"
@@ -79,22 +79,30 @@ def _line(text: str, start: bool, seen: set[str], pairs: set[str], common: froze
     for run in wide:
         pairs.update(map("".join, zip(run, run[1:])) if len(run) > 1 else run)
     sizes = list(map(len, found))
+    if plain:
+        alnum = len(text.encode().translate(None, _ASCII_OTHER))
+        digits = len(text) - len(text.encode().translate(None, b"0123456789"))
+    else:
+        alnum, digits = len(_OTHER.sub("", text)), sum(map(len, _DIGITS.findall(text)))
+    inner = bare.strip("|│")
+    bars = inner.count("|") + inner.count("│") + inner.count('" "')
+    gaps = len(_GAP.findall(inner)) if not plain or "\t" in inner or "  " in inner else 0
     return [
-        len(_BLANK.sub("", text)),
+        len("".join(text.split())),
         len(found),
         sum(sizes),
         sum(map(common.__contains__, found)) if common else 0,
-        sum(n <= 3 and not any(map(str.isdigit, w)) for w, n in zip(found, sizes)),
-        len((_ASCII_OTHER if plain else _OTHER).sub("", text)),
-        sum(map(len, _DIGITS.findall(text))),
+        sum(n <= 3 and (w.isalpha() or not any(map(str.isdigit, w))) for w, n in zip(found, sizes)),
+        alnum,
+        digits,
         sum(map(len, wide)),
         sum(map(len, _MARKUP.findall(text))) if "<" in text or "&" in text or "{" in text else 0,
         0 if plain else sum(map(len, _BROKEN.findall(text))),
         sum(n for n in sizes if n >= 24),
-        len(_CELL.findall(bare.strip("|│"))),
-        len(_PIECE.findall(bare.strip("|│"))),
-        len(_GAP.findall(bare)),
-        len(_END.findall(bare)),
+        bars + gaps + inner.count(",") + inner.count(";"),
+        bars + inner.count(", ") + inner.count("; "),
+        gaps,
+        len(_END.findall(bare)) if not plain or "." in bare or "?" in bare or "!" in bare else 0,
         int(bool(mark)),
         int(bare[-1:] in _STOPS and bare != ""),
     ]
@@ -114,8 +122,7 @@ def _close(total: list[int], line: list[int]) -> None:
     chars, n, short, digits, wide, cells, pieces, gaps, ends, marked = (line[_AT[k]] for k in ("chars", "words", "short", "digits", "wide", "cells", "pieces", "gaps", "ends", "marked"))
     if not chars:
         return
-    for i, x in enumerate(line):
-        total[i] += x
+    total[: len(line)] = map(operator.add, total, line)
     total[_AT["lines"]] += 1
     loose = short >= 0.2 * n and digits <= 0.1 * chars  # odd spacing in a sentence, not columns
     if (n >= (8 if marked else 5) and n > 3 * (pieces + (0 if loose else gaps) + 1) and digits <= 0.3 * chars) or wide >= 6:
