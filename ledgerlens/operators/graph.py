@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import bounded
+
 
 def similarity_edges(neighbours: DataFrame, floor: float = 0.01) -> DataFrame:
     """(src, dst, w) from (src, dst, dist): exp(-d^2 / s^2) with s^2 the mean of the positive squared distances. Both
@@ -15,6 +19,27 @@ def similarity_edges(neighbours: DataFrame, floor: float = 0.01) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def anchor_graph(spark: SparkSession, x: np.ndarray, anchors: int, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, w) and (node, dim, val) of a bounded sample's anchors, its mini-batch centres: a pair of neighbours weighs
+    exp(-d^2 / 2 s^2) sqrt(n_i n_j), with n the rows of an anchor and s the median positive distance; one-way pairs count half."""
+    centres = bounded.stream_kmeans(x, bounded.spread_start(x, anchors, np.random.default_rng(seed)), 50_000, 40, seed)
+    n = np.bincount(bounded.nearest(x, centres), minlength=anchors).astype(float)
+    centres, n = centres[n > 0], n[n > 0]
+    d = bounded.squared(centres, centres)
+    np.fill_diagonal(d, np.inf)
+    k = min(k, len(centres) - 1)
+    j = np.argsort(d, axis=1, kind="stable")[:, :k]
+    i = np.repeat(np.arange(len(centres)), k)
+    j = j.ravel()
+    dist = np.sqrt(d[i, j])
+    scale = max(float(np.median(dist[dist > 0])), 1e-6) if (dist > 0).any() else 1.0
+    w = np.exp(-dist * dist / (2 * scale * scale)) * np.sqrt(n[i] * n[j]) / 2
+    edges = spark.createDataFrame(pd.DataFrame({"src": np.concatenate([i, j]), "dst": np.concatenate([j, i]), "w": np.concatenate([w, w])})).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    dim = centres.shape[1]
+    values = pd.DataFrame({"node": np.repeat(np.arange(len(centres)), dim), "dim": np.tile(np.arange(dim, dtype=np.int32), len(centres)), "val": centres.ravel()})
+    return edges, spark.createDataFrame(values)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("w").alias("degree")).withColumnRenamed("src", "node")
 

@@ -20,17 +20,19 @@ CLUSTERS = 30
 SEED_MIN_ROWS, SEED_ROWS = 500, 100_000  # of a rule family: the least for a seed, and the sample that its seeds are searched on
 
 
-def feature_frame(spark: SparkSession, d: str, stage: Stage) -> DataFrame:
-    """(_rid, profile, flags..., x): weighted, robustly scaled features of every row, nulls as 0."""
+def feature_frame(spark: SparkSession, d: str, stage: Stage, with_raw: bool = False) -> DataFrame:
+    """(_rid, profile, flags..., x): robustly scaled, weighted and standardised features of every row, nulls as 0; ``raw`` are those before scaling and weights."""
     df = scaling.log_transform(transactions(spark, d), AMOUNTS)
     columns = AMOUNTS + COUNTS + FLAGS
     df = df.withColumn("profile", rules.first_match(df.columns)).select("_rid", "profile", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], *[F.col(c).alias(f"raw_{c}") for c in FLAGS])
+    if with_raw:
+        df = df.withColumn("raw", F.array(*columns))
     scaled = scaling.robust_scale(stage.put(df), columns)
     ranks = zeta.weigh_features(read_table(spark, d, "feature_ranks").select("feature", "mi_score"), {"w": 1.5}).select("feature", "w").collect()  # a row per feature
     weights = {r.feature: r.w for r in ranks}
     least = min(weights.values(), default=1.0)
-    weighed = scaling.apply_weights(scaled, {c: weights.get(c, least) for c in columns})
-    return stage.put(weighed.select("_rid", "profile", F.array(*columns).alias("x"), *[F.col(f"raw_{c}").cast("double").alias(c) for c in FLAGS]))
+    weighed = scaling.standard_scale(scaling.apply_weights(scaled, {c: weights.get(c, least) for c in columns}), columns)
+    return stage.put(weighed.select("_rid", "profile", F.array(*columns).alias("x"), *(["raw"] if with_raw else []), *[F.col(f"raw_{c}").cast("double").alias(c) for c in FLAGS]))
 
 
 def fit_rows(frame: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -102,59 +104,4 @@ def column_manifest(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(role, c) for role, cols in m.items() if role != "total_rows" for c in cols], "role string, column_name string")
 
 
-def contextual_comparison(spark: SparkSession, d: str, seeds: tuple[int, ...] = (1, 2, 3), rows: int = 4_000, k: int = 12) -> DataFrame:
-    """Agreement of seeded and plain clusterings with the rule labels, over repeated samples: mean and deviation by method."""
-    stage = Stage(spark)
-    frame = feature_frame(spark, d, stage)
-    out = None
-    for seed in seeds:
-        sample = stage.put(frame.orderBy(resample.hash_key("_rid", seed), "_rid").limit(rows))
-        sizes = {r.profile: r["count"] for r in sample.groupBy("profile").count().collect()}
-        centres = {
-            "seeded": kmeans.seeded_kmeans(sample, kmeans.seed_centres(sample, "profile", kmeans.allocate_seeds(sizes, k, 2), "x", seed), 5, vector="x")[0],
-            "plain": kmeans.plain_kmeans(sample, k, seed, vector="x", iterations=10),
-        }
-        for method, c in centres.items():
-            joined = stage.put(kmeans.assign(sample, c, "_rid", "x").join(sample.select("_rid", "profile"), "_rid"))
-            row = metrics.purity(joined, "cluster", "profile").join(metrics.normalised_information(joined, "cluster", "profile"), how="cross")  # one row each
-            row = row.select(F.lit(seed).alias("seed"), F.lit(method).alias("method"), "weighted_purity", "macro_purity", "weighted_entropy", "nmi")
-            out = row if out is None else out.unionByName(row)
-    from ledgerlens.operators.compare import repeat_summary
-
-    return repeat_summary(stage.put(out), "method", ["weighted_purity", "macro_purity", "weighted_entropy", "nmi"])
-
-
-def ablation(spark: SparkSession, d: str, rows: int = 2_000, k: int = 10) -> DataFrame:
-    """(condition, silhouette, anomaly_rate): plain features; with weights; refined from seeds; and the same with anomaly flags, which
-    leave the clusters as they are."""
-    stage = Stage(spark)
-    frame = feature_frame(spark, d, stage)
-    sample = fit_rows(frame, rows).toPandas()
-    x, y = np.stack(sample["x"].to_numpy()), sample["profile"].to_numpy()
-    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    plain = (x - x.mean(axis=0)) / spread
-    families = [f for f in np.unique(y) if (y == f).sum() >= 2][:k]
-
-    def lloyd(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        for _ in range(10):
-            at = linalg.distances(data, centres).argmin(axis=1)
-            centres = np.array([data[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(len(centres))])
-        return linalg.distances(data, centres).argmin(axis=1)
-
-    start = np.random.default_rng(42).choice(len(x), min(k, len(x)), replace=False)
-    c = lloyd(x, np.array([x[y == f].mean(axis=0) for f in families]))
-    score = linalg.IsolationForest(x, 50).score(x)
-    rate = float((score > np.quantile(score, 0.95)).mean())
-    found = [("A_plain", lloyd(plain, plain[start]), plain, None), ("B_weighted", lloyd(x, x[start]), x, None), ("C_refined", c, x, None), ("D_with_anomalies", c, x, rate)]
-    return spark.createDataFrame([(n, linalg.silhouette_of(z, lab), r) for n, lab, z, r in found], "condition string, silhouette double, anomaly_rate double")
-
-
-def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Change of the silhouette from one condition of the ablation to the next."""
-    rows = ablation(spark, d)
-    before = F.lag("silhouette").over(W.partitionBy(F.lit(0)).orderBy("condition"))  # four rows
-    delta = F.col("silhouette") - before
-    return rows.select("condition", "silhouette", delta.alias("silhouette_delta"), (delta / F.nullif(F.abs(before), F.lit(0.0)) * 100).alias("pct"))
-
-
-QUERIES = {"pipeline_profiles": profiles, "column_manifest": column_manifest, "contextual_comparison": contextual_comparison, "ablation": ablation, "ablation_deltas": ablation_deltas}
+QUERIES = {"pipeline_profiles": profiles, "column_manifest": column_manifest}

@@ -338,17 +338,6 @@ def class_scatter(df: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
     return moments(df, dict(zip(names, centres)), label), (apart * n[:, None]).T @ apart
 
 
-@query()
-def metric_search(spark, d):
-    """Candidate metrics from the scatter of the labels' classes, by the silhouette they give."""
-    ids, x = reference_matrix(sample(spark, d), "vec_id", "embedding")
-    labels = {r.vec_id: r.label for r in sample(spark, d).select("vec_id", "label").collect()}
-    w, b = class_scatter(vectors(spark, d), "label")
-    n = max(1, len(ids))
-    y = np.array([labels[i] for i in ids])
-    return spark.createDataFrame([(name, linalg.silhouette_of(x @ m, y)) for name, m in linalg.metric_candidates(w / n, b / n).items()], "name string, silhouette double")
-
-
 def _scored(spark, d, n: int, keep: int):
     """(run, silhouette): resampled silhouettes, each of one task."""
     pool = sample(spark, d, POOL)
@@ -419,21 +408,3 @@ def knn_information(spark, d):
     s = df.select("_rid", F.log1p(F.greatest("fee", F.lit(0.0))).alias("fee"), F.log1p(F.greatest("total_output_value", F.lit(0.0))).alias("total_output_value"), rules.first_match(df.columns).alias("profile")).where("fee is not null and total_output_value is not null").orderBy(resample.hash_key("_rid", 42)).limit(INFORMED).toPandas()
     y = s["profile"].astype("category").cat.codes.to_numpy(float)
     return spark.createDataFrame([(c, linalg.neighbour_information(s[c].to_numpy(), y)) for c in ("fee", "total_output_value")], "feature string, mi_score double")
-
-
-@query()
-def method_comparison(spark, d):
-    """Clusterings of the sample by several methods in one space, with their metrics."""
-    v = sample(spark, d)
-    ids, x = reference_matrix(v, "vec_id", "embedding")
-    labels = {r.vec_id: r.label for r in v.select("vec_id", "label").collect()}
-    y = np.array([labels[i] for i in ids])
-    k = len(set(y.tolist()))
-    seeds = np.array([x[y == c].mean(axis=0) for c in np.unique(y)])
-    refined = seeds
-    near = linalg.distances(x, refined).argmin(axis=1)
-    for _ in range(10):
-        refined = np.array([x[near == c].mean(axis=0) if (near == c).any() else refined[c] for c in range(k)])
-        near = linalg.distances(x, refined).argmin(axis=1)
-    methods = {"labels": y, "seeded": near, "ward": linalg.ward(x, k)}
-    return spark.createDataFrame([(n, int(len(set(lab.tolist()))), linalg.silhouette_of(x, lab)) for n, lab in methods.items()], "method string, n_clusters int, silhouette double")
