@@ -14,7 +14,7 @@ def blobs():
     rng = np.random.default_rng(3)
     centres = np.array([[0, 0, 0], [8, 0, 0], [0, 8, 0], [0, 0, 8.0]])
     y = np.repeat(np.arange(4), 40)
-    return centres[y] + rng.normal(size=(160, 3)), y
+    return centres[y] + 0.6 * rng.normal(size=(160, 3)), y
 
 
 def test_scores_against_definitions(blobs):
