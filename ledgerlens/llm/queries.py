@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, clusters, components, heavy, leaks, quality, quantiles, sampling
+from ledgerlens.llm import bpe, clusters, components, heavy, leaks, minhash, quality, quantiles, sampling
 from ledgerlens.operators.packed import explode_packed
 from ledgerlens.sources.tables import Stage, read_table
 
@@ -54,6 +54,13 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_sketches(parts, "shard_id"), "shard_id", [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by min-hash banding at one similarity, with their sizes and medoids: the method named, which finds a part of the clusters only."""
+    points = _clusters(spark, d).points
+    groups = minhash.Groups(points, list(clusters.AXES), Stage(spark), least=0.25)
+    return groups.members().groupBy("group").agg(F.count("*").alias("size"), F.first("medoid").alias("medoid"))
+
+
 def _draw(spark: SparkSession, d: str) -> sampling.StratifiedDraw:
     units = read_table(spark, d, "dataset").select(F.col("txid").alias("unit"), sampling.stratum_of(STRATUM_FLAGS).alias("stratum"))
     return sampling.StratifiedDraw(units, read_table(spark, d, "sample_targets"), Stage(spark))
@@ -120,7 +127,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(docs, Stage(spark), common=quality.common_words(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p1_groups, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
 
 _ITEMS = r"""
     SELECT field_name, unnest(list_filter(list_transform(tokens, lambda x: trim(CASE
