@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -76,3 +76,14 @@ def box_stats(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFra
     inside = v.join(q, group).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     w = inside.groupBy(group).agg(F.min("v").alias("low_whisker"), F.max("v").alias("high_whisker"))
     return q.join(w, group).select(group, "n", *[F.round(c, digits).alias(c) for c in ("q1", "median", "q3", "low_whisker", "high_whisker")])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A report of (at, line), counted from 0, as one text file; each line has its number in front. Reports are small."""
+    lines.select(F.concat(F.format_string("%06d", "at"), F.lit("\t"), "line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of a written report, counted from 1."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select((parts[0].cast("int") + 1).alias("line_no"), parts[1].alias("line"))
