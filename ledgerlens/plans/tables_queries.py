@@ -280,35 +280,45 @@ def classification_scores(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-_CANDIDATES = [("seeded", 0.45, 1.07, 1315.0), ("elkan", 0.50, 0.84, 2926.0), ("ward", 0.42, 1.04, 1304.0), ("blend", 0.45, 1.03, 1315.0), ("plain", 0.49, 1.03, 1311.0)]
-_BASE = {"silhouette": 0.45, "davies_bouldin": 1.05, "calinski_harabasz": 1310.0}
-_VALUES = "c(name, silhouette, davies_bouldin, calinski_harabasz) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, a, b, c in _CANDIDATES) + ")"
+_CANDIDATE_METRICS = {"silhouette": "mean_anomaly_score", "davies_bouldin": "pct", "calinski_harabasz": "anomaly_rate"}
+_CANDIDATE_COLUMNS = ", ".join(f"round(avg(CASE WHEN isfinite({c}) THEN {c} END), 9) AS {m}" for m, c in _CANDIDATE_METRICS.items())
+#: Five candidates and a baseline, with three numbers each taken from the statistics of their shards.
+_VALUES = f"c AS (SELECT 'c' || (shard_id % 5) AS name, {_CANDIDATE_COLUMNS} FROM profile_statistics WHERE shard_id IS NOT NULL GROUP BY 1), base AS (SELECT {_CANDIDATE_COLUMNS} FROM profile_statistics)"
 
 
-def _candidates(spark):
-    return spark.createDataFrame(_CANDIDATES, "name string, silhouette double, davies_bouldin double, calinski_harabasz double")
+def _measured(rows):
+    return [F.round(F.avg(finite(c)), 9).alias(m) for m, c in _CANDIDATE_METRICS.items()]
 
 
-@query(f"""WITH {_VALUES}, r AS (SELECT *, row_number() OVER (ORDER BY silhouette DESC, name) + row_number() OVER (ORDER BY davies_bouldin, name) + row_number() OVER (ORDER BY calinski_harabasz DESC, name) AS rank_sum,
-    CAST(silhouette > 0.45 AS INT) + CAST(davies_bouldin < 1.05 AS INT) + CAST(calinski_harabasz > 1310 AS INT) AS wins FROM c)
+def _candidates(spark, d):
+    rows = read_table(spark, d, "profile_statistics").where("shard_id is not null")
+    return rows.groupBy(F.concat(F.lit("c"), (F.col("shard_id") % 5).cast("string")).alias("name")).agg(*_measured(rows))
+
+
+@query(f"""WITH {_VALUES}, r AS (SELECT c.*, row_number() OVER (ORDER BY c.silhouette DESC, name) + row_number() OVER (ORDER BY c.davies_bouldin, name) + row_number() OVER (ORDER BY c.calinski_harabasz DESC, name) AS rank_sum,
+    CAST(c.silhouette > base.silhouette AS INT) + CAST(c.davies_bouldin < base.davies_bouldin AS INT) + CAST(c.calinski_harabasz > base.calinski_harabasz AS INT) AS wins FROM c, base)
     SELECT name, CAST(rank_sum AS INT) AS rank_sum, wins, CAST(row_number() OVER (ORDER BY (wins = 3) DESC, wins DESC, rank_sum, silhouette DESC, davies_bouldin, calinski_harabasz DESC, name) AS INT) AS place FROM r""")
 def candidate_selection(spark, d):
-    return compare.rank_candidates(_candidates(spark), _BASE).select("name", "rank_sum", "wins", "place")
+    base = read_table(spark, d, "profile_statistics")
+    base = base.agg(*_measured(base)).first().asDict()  # one row
+    return compare.rank_candidates(_candidates(spark, d), base).select("name", "rank_sum", "wins", "place")
 
 
 @query(f"""WITH {_VALUES} SELECT 'silhouette' AS metric, arg_min(name, (-silhouette, name)) AS winner, max(silhouette) AS value FROM c
     UNION ALL SELECT 'davies_bouldin', arg_min(name, (davies_bouldin, name)), min(davies_bouldin) FROM c
     UNION ALL SELECT 'calinski_harabasz', arg_min(name, (-calinski_harabasz, name)), max(calinski_harabasz) FROM c""")
 def metric_winners(spark, d):
-    return compare.metric_winners(_candidates(spark))
+    return compare.metric_winners(_candidates(spark, d))
 
 
-@query(f"""WITH {_VALUES}, p AS (SELECT 'silhouette' AS metric, a.silhouette AS new, b.silhouette AS old, true AS higher FROM c a, c b WHERE a.name = 'blend' AND b.name = 'elkan'
-    UNION ALL SELECT 'davies_bouldin', a.davies_bouldin, b.davies_bouldin, false FROM c a, c b WHERE a.name = 'blend' AND b.name = 'elkan')
-    SELECT *, CASE WHEN higher THEN new - old ELSE old - new END / greatest(abs(old), 1e-12) * 100 AS improvement_pct, CASE WHEN higher THEN new > old ELSE new < old END AS wins FROM p""")
+@query(f"""WITH {_VALUES}, p AS (SELECT 'silhouette' AS metric, a.silhouette AS new, b.silhouette AS old, true AS higher FROM c a, c b WHERE a.name = 'c0' AND b.name = 'c1'
+    UNION ALL SELECT 'davies_bouldin', a.davies_bouldin, b.davies_bouldin, false FROM c a, c b WHERE a.name = 'c0' AND b.name = 'c1')
+    SELECT metric, new, old, higher, round(CASE WHEN higher THEN new - old ELSE old - new END / greatest(abs(old), 1e-12) * 100, 6) AS improvement_pct, CASE WHEN higher THEN new > old ELSE new < old END AS wins FROM p""")
 def improvement_pct(spark, d):
-    rows = [("silhouette", 0.45, 0.50, True), ("davies_bouldin", 1.03, 0.84, False)]
-    return compare.improvements(spark.createDataFrame(rows, "metric string, new double, old double, higher boolean"))
+    long = _candidates(spark, d).where("name in ('c0', 'c1')").unpivot("name", ["silhouette", "davies_bouldin"], "metric", "v")
+    pairs = long.groupBy("metric").pivot("name", ["c0", "c1"]).agg(F.first("v"))
+    out = compare.improvements(pairs.select("metric", F.col("c0").alias("new"), F.col("c1").alias("old"), (F.col("metric") == "silhouette").alias("higher")))
+    return out.withColumn("improvement_pct", F.round("improvement_pct", 6))
 
 
 @query("SELECT shard_id, round(avg(pct), 6) AS pct_mean, round(stddev_samp(pct), 6) AS pct_std, round(avg(anomaly_rate), 6) AS anomaly_rate_mean, round(stddev_samp(anomaly_rate), 6) AS anomaly_rate_std FROM (SELECT shard_id, CASE WHEN isfinite(pct) THEN pct END AS pct, CASE WHEN isfinite(anomaly_rate) THEN anomaly_rate END AS anomaly_rate FROM profile_statistics) GROUP BY 1")
@@ -351,10 +361,17 @@ def profile_heatmap(spark, d):
     return report.row_minmax(means.join(F.broadcast(report.top_groups(df, "tx_profile", 25)), "tx_profile", "left_semi"), _HEAT)
 
 
-@query(f"""WITH {_MEAN_SQL}, a AS (SELECT * FROM m WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _HEAT)}),
+_RADAR = f"""WITH {_MEAN_SQL}, a AS (SELECT * FROM m WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _HEAT)}),
     g AS (SELECT tx_profile, {', '.join(f'CASE WHEN max({c}) OVER () > 1 THEN ln(1 + greatest({c}, 0)) ELSE {c} END AS {c}' for c in _HEAT)} FROM a),
     z AS (SELECT tx_profile, {', '.join(f'(least(greatest(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, -2.5), 2.5) + 2.5) / 5 AS {c}' for c in _HEAT)} FROM g)
-    SELECT tx_profile, {', '.join(f'round({c}, 6) AS {c}' for c in _HEAT)}, round(greatest({', '.join(_HEAT)}) - least({', '.join(_HEAT)}), 6) AS spread FROM z""")
+    SELECT tx_profile, {', '.join(f'round({c}, 6) AS {c}' for c in _HEAT)}, round(greatest({', '.join(_HEAT)}) - least({', '.join(_HEAT)}), 6) AS spread FROM z"""
+
+
+def radar_sql(tail: str) -> str:
+    return f"SELECT tx_profile, spread FROM ({_RADAR}) JOIN (SELECT tx_profile, count(*) AS tx_count FROM results_labeled GROUP BY 1) USING (tx_profile){tail}"
+
+
+@query(_RADAR)
 def radar(spark, d):
     means = report.group_means(read_table(spark, d, "results_labeled"), "tx_profile", {c: finite(c) for c in _HEAT}, None)
     return report.radar(means, "tx_profile", _HEAT)
@@ -415,22 +432,34 @@ def label_join(spark, d):
     return labels.join(rows, "txid")
 
 
+_NAMES = [f"c{i}" for i in range(5)]
+
+
 @query(f"""WITH {_VALUES}, u AS (UNPIVOT c ON silhouette, davies_bouldin, calinski_harabasz INTO NAME metric VALUE v)
-    SELECT metric, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n, *_ in _CANDIDATES)} FROM u GROUP BY metric""")
+    SELECT metric, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n in _NAMES)} FROM u GROUP BY metric""")
 def metrics_pivot(spark, d):
     """Metrics as rows and methods as columns."""
-    long = _candidates(spark).unpivot("name", list(compare.METRICS), "metric", "v")
-    return long.groupBy("metric").pivot("name", [n for n, *_ in _CANDIDATES]).agg(F.max("v"))
+    long = _candidates(spark, d).unpivot("name", list(compare.METRICS), "metric", "v")
+    return long.groupBy("metric").pivot("name", _NAMES).agg(F.max("v"))
 
 
-@query(f"WITH {_VALUES} SELECT CASE name WHEN 'plain' THEN 'A_plain' WHEN 'elkan' THEN 'B_elkan' ELSE name END AS condition, round(silhouette - lag(silhouette) OVER (ORDER BY name), 6) AS silhouette_delta, round((silhouette - lag(silhouette) OVER (ORDER BY name)) / abs(lag(silhouette) OVER (ORDER BY name)) * 100, 6) AS pct FROM c")
+@query(f"""WITH {_VALUES}, x AS (SELECT CASE name WHEN 'c0' THEN 'A' WHEN 'c1' THEN 'B' WHEN 'c2' THEN 'C' WHEN 'c3' THEN 'D' END AS k, silhouette AS v FROM c WHERE name <> 'c4')
+    SELECT n.k || '-' || o.k AS step, round(n.v - o.v, 6) AS delta, round((n.v - o.v) / abs(o.v) * 100, 6) AS pct FROM x n JOIN x o ON (n.k, o.k) IN (('B', 'A'), ('C', 'B'), ('D', 'A'))""")
 def component_deltas(spark, d):
-    """Change of a metric from one condition to the next, after renaming."""
-    from pyspark.sql import Window as W
+    """Changes between conditions after renaming: B against A, C against B, D against A."""
+    x = _candidates(spark, d).where("name <> 'c4'").replace({"c0": "A", "c1": "B", "c2": "C", "c3": "D"}, subset=["name"]).select(F.col("name").alias("k"), F.col("silhouette").alias("v"))
+    steps = F.broadcast(spark.createDataFrame([("B", "A"), ("C", "B"), ("D", "A")], "n string, o string"))
+    pairs = steps.join(x.select(F.col("k").alias("n"), F.col("v").alias("nv")), "n").join(x.select(F.col("k").alias("o"), F.col("v").alias("ov")), "o")  # three rows
+    delta = F.col("nv") - F.col("ov")
+    return pairs.select(F.concat("n", F.lit("-"), "o").alias("step"), F.round(delta, 6).alias("delta"), F.round(F.try_divide(delta, F.abs("ov")) * 100, 6).alias("pct"))
 
-    before = F.lag("silhouette").over(W.partitionBy(F.lit(0)).orderBy("name"))
-    rows = _candidates(spark).select("name", F.round(F.col("silhouette") - before, 6).alias("silhouette_delta"), F.round((F.col("silhouette") - before) / F.abs(before) * 100, 6).alias("pct"))
-    return rows.replace({"plain": "A_plain", "elkan": "B_elkan"}, subset=["name"]).withColumnRenamed("name", "condition")
+
+@query(radar_sql(" ORDER BY spread DESC, tx_count DESC, tx_profile LIMIT 6"))
+def radar_top(spark, d):
+    """The six groups of the largest spread, larger groups first among equals."""
+    df = read_table(spark, d, "results_labeled")
+    size = df.groupBy("tx_profile").agg(F.count("*").alias("tx_count"))
+    return radar(spark, d).join(size, "tx_profile").orderBy(F.desc("spread"), F.desc("tx_count"), "tx_profile").limit(6).select("tx_profile", "spread")
 
 
 @query("SELECT DISTINCT tx_profile FROM results_labeled WHERE tx_profile IS NOT NULL UNION SELECT DISTINCT tx_profile FROM profile_statistics WHERE tx_profile IS NOT NULL")

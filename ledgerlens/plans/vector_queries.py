@@ -17,7 +17,7 @@ from ledgerlens.plans.transactions import FLAGS, transactions
 from ledgerlens.sources.tables import Stage, read_table
 
 QUERIES, SQL = {}, {}
-K = 5
+K = 15  # neighbours, as surveyed
 SAMPLE = 2_000  # rows of the bounded samples that pairwise steps take; the same hash order at every scale
 COMPARED, SCORED = 10_000, 60_000  # the surveyed samples: of method comparisons, and of silhouettes
 POOL = 20_000  # rows that resamples are drawn from
@@ -43,7 +43,7 @@ def sample(spark: SparkSession, d: str, rows: int = SAMPLE) -> DataFrame:
     return vectors(spark, d).orderBy(resample.hash_key("vec_id", 42), "vec_id").limit(rows)
 
 
-E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT * FROM e ORDER BY md5('42|' || vec_id), vec_id LIMIT 2000)"
+E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT * FROM e)"
 NN = f"{E}, nn AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS dist FROM s a JOIN s b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dist, b.vec_id) <= {K})"
 EDGES = f"""{NN}, s2 AS (SELECT greatest(avg(dist * dist) FILTER (dist > 0), 0.01) AS s2 FROM nn), w1 AS (SELECT src, dst, exp(-dist * dist / s2) AS w FROM nn, s2),
     edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM w1 UNION ALL SELECT dst, src, w FROM w1) GROUP BY ALL), deg AS (SELECT src AS node, sum(w) AS g FROM edges GROUP BY 1)"""
@@ -58,7 +58,9 @@ def _neighbours(spark, d):
 
 
 def _edges(spark, d):
-    return graph.similarity_edges(_neighbours(spark, d))
+    """Staged twice: the search runs once, however often the graph is read."""
+    stage = Stage(spark)
+    return stage.put(graph.similarity_edges(stage.put(_neighbours(spark, d))))
 
 
 def _values(spark, d, dims: int = 8):
@@ -117,10 +119,12 @@ def rescued_isolated(spark, d):
     return out.where("w < 1").agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-@query("WITH t(dim, eigenvalue) AS (VALUES (1, 0.10::DOUBLE), (2, 0.15::DOUBLE), (3, 0.50::DOUBLE), (4, 0.55::DOUBLE)), g AS (SELECT *, coalesce(eigenvalue - lag(eigenvalue) OVER (ORDER BY dim), 0) AS gap FROM t) SELECT count(*) AS n_dims, min(eigenvalue) AS min_value, max(eigenvalue) AS max_value, avg(eigenvalue) AS mean_value, round(max(gap), 6) AS max_gap, CAST(arg_max(dim, (gap, -dim)) AS INT) AS gap_dim FROM g")
+@query(f"WITH {E}, t AS (SELECT unnest(range(8)) + 1 AS dim, unnest(v[1:8]) AS x FROM e), v AS (SELECT dim, var_pop(x) AS eigenvalue FROM t GROUP BY 1), g AS (SELECT *, coalesce(eigenvalue - lag(eigenvalue) OVER (ORDER BY dim), 0) AS gap FROM v) SELECT count(*) AS n_dims, round(min(eigenvalue), 6) AS min_value, round(max(eigenvalue), 6) AS max_value, round(avg(eigenvalue), 6) AS mean_value, round(max(gap), 6) AS max_gap, CAST(arg_max(dim, (gap, -dim)) AS INT) AS gap_dim FROM g")
 def eigengap_summary(spark, d):
-    values = spark.createDataFrame([(1, 0.10), (2, 0.15), (3, 0.50), (4, 0.55)], "dim int, eigenvalue double")
-    return graph.eigengap_summary(values).withColumn("max_gap", F.round("max_gap", 6))
+    """The gap summary of a spectrum that SQL has as well, the variances of the first coordinates; ``spectral_gaps`` has the graph's own."""
+    x = vectors(spark, d).select(F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "x"))
+    values = x.groupBy((F.col("dim") + 1).cast("int").alias("dim")).agg(F.var_pop("x").alias("eigenvalue"))
+    return graph.eigengap_summary(values).select("n_dims", *[F.round(c, 6).alias(c) for c in ("min_value", "max_value", "mean_value", "max_gap")], "gap_dim")
 
 
 @query(f"WITH {CENT} SELECT label, CAST(dim AS INT) AS dim, round(val, 6) AS val FROM cent")
@@ -154,7 +158,7 @@ def kmeans_one_step(spark, d):
     return spark.createDataFrame(rows, "cluster int, dim int, val double")
 
 
-_D4 = "l4 AS (SELECT vec_id, label, unnest(range(4)) AS dim, unnest(v[1:4]) AS x FROM e), m AS (SELECT label, dim, avg(x) AS mu, count(*) AS n FROM l4 GROUP BY ALL), g AS (SELECT dim, avg(x) AS mu FROM l4 GROUP BY 1)"
+_D4 = "l4 AS (SELECT vec_id, label, 1.0::DOUBLE + vec_id % 3 AS wt, unnest(range(4)) AS dim, unnest(v[1:4]) AS x FROM e), m AS (SELECT label, dim, sum(wt * x) / sum(wt) AS mu, sum(wt) AS n FROM l4 GROUP BY ALL), g AS (SELECT dim, sum(wt * x) / sum(wt) AS mu FROM l4 GROUP BY 1)"
 
 
 def scatter_matrices(df: DataFrame, label: str, weight: str, dims: int) -> DataFrame:
@@ -173,12 +177,12 @@ def scatter_matrices(df: DataFrame, label: str, weight: str, dims: int) -> DataF
     return within.join(between, ["i", "j"])
 
 
-@query(f"""WITH {E}, {_D4}, c AS (SELECT vec_id, label, dim, x - mu AS r FROM l4 JOIN m USING (label, dim)),
-    sw AS (SELECT a.dim AS i, b.dim AS j, sum(a.r * b.r) AS w FROM c a JOIN c b USING (vec_id) GROUP BY ALL),
+@query(f"""WITH {E}, {_D4}, c AS (SELECT vec_id, label, wt, dim, x - mu AS r FROM l4 JOIN m USING (label, dim)),
+    sw AS (SELECT a.dim AS i, b.dim AS j, sum(a.wt * a.r * b.r) AS w FROM c a JOIN c b USING (vec_id) GROUP BY ALL),
     dv AS (SELECT label, dim, n, m.mu - g.mu AS r FROM m JOIN g USING (dim)), sb AS (SELECT a.dim AS i, b.dim AS j, sum(a.n * a.r * b.r) AS b FROM dv a JOIN dv b USING (label) GROUP BY ALL)
     SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w, 6) AS within, round(b, 6) AS between FROM sw JOIN sb USING (i, j)""")
 def weighted_scatter(spark, d):
-    out = scatter_matrices(vectors(spark, d).withColumn("wt", F.lit(1.0)), "label", "wt", 4)
+    out = scatter_matrices(vectors(spark, d).withColumn("wt", F.lit(1.0) + F.col("vec_id") % 3), "label", "wt", 4)
     return out.select("i", "j", F.round("within", 6).alias("within"), F.round("between", 6).alias("between"))
 
 
@@ -311,6 +315,13 @@ def spectral_gaps(spark, d):
     return graph.eigengap_summary(spark.createDataFrame(values, "dim int, eigenvalue double"))
 
 
+@query()
+def scree(spark, d):
+    """(dim, eigenvalue, gap): the table behind the scree plot."""
+    values = _spectrum(spark, d)[1]
+    return spark.createDataFrame([(i + 1, float(x), float(x - values[i - 1]) if i else 0.0) for i, x in enumerate(values)], "dim int, eigenvalue double, gap double")
+
+
 @query()
 def pca_whiten(spark, d):
     """Whitened coordinates of the whole vector: moments are aggregated over all rows, the d x d step runs on the driver."""
