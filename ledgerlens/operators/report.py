@@ -11,6 +11,9 @@ from ledgerlens.operators.skew import compress_values, interpolated, quantile_ro
 from ledgerlens.sources.tables import Stage
 
 
+MANY = 100_000  # groups whose numbers are broadcast
+
+
 def anomaly_flag(df: DataFrame, score: str, share: float = 0.95) -> DataFrame:
     """Adds ``threshold`` and ``flag``: scores strictly above the exact quantile; null and NaN scores aren't flagged."""
     limit = quantile_row(df.select(finite(score).alias("s")), ["s"], [share]).select(F.col("s")[0].alias("threshold"))
@@ -70,10 +73,13 @@ def density(df: DataFrame, value: str, group: str, bins: int, digits: int = 10)
 def box_stats(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """(group, n, q1, median, q3, low_whisker, high_whisker): whiskers are the outermost values within 1.5 ranges of the box."""
     v = df.where(F.col(group).isNotNull()).select(group, finite(value).alias("v")).where("v is not null")
-    q = interpolated(compress_values(v, F.col(group), F.col("v")), Stage(df.sparkSession), [0.25, 0.5, 0.75])
+    stage = Stage(df.sparkSession)
+    q = interpolated(compress_values(v, F.col(group), F.col("v")), stage, [0.25, 0.5, 0.75])
     q = q.select(F.col("key_value").alias(group), F.col("n_rows").alias("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = v.join(q, group).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
+    q = stage.put(q)
+    boxes = F.broadcast(q) if q.count() <= MANY else q  # a few numbers a group
+    inside = v.join(boxes, group).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     w = inside.groupBy(group).agg(F.min("v").alias("low_whisker"), F.max("v").alias("high_whisker"))
     return q.join(w, group).select(group, "n", *[F.round(c, digits).alias(c) for c in ("q1", "median", "q3", "low_whisker", "high_whisker")])
 

@@ -61,3 +61,21 @@ def test_interpolated_quantiles(spark, stage, seed):
     assert set(got) == {"x", "y"}
     assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile(y, shares))
     assert quantile_row(df, ["z"], [0.5], stage).collect()[0].z is None
+
+
+def test_column_quantiles_from_bounds(spark, stage):
+    """Large columns with ties, nulls and NaN: only the values near a quantile are sorted, and it is exact."""
+    import numpy as np
+
+    from ledgerlens.operators.skew import column_quantiles
+
+    rng = np.random.default_rng(9)
+    a, b = rng.lognormal(3, 2, 30_000), rng.integers(0, 6, 30_000).astype(float)
+    a[::50] = np.nan
+    df = spark.createDataFrame(list(zip(a.tolist(), [None if i % 7 == 0 else x for i, x in enumerate(b.tolist())], [None] * 30_000)), "a double, b double, c double").repartition(7)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.975, 1.0]
+    for accuracy in (200, 10_000, 100_000):
+        got = {r.key_value: r for r in column_quantiles(df, ["a", "b", "c"], shares, stage, accuracy).collect()}
+        assert set(got) == {"a", "b"}
+        assert np.allclose(got["a"].q, np.quantile(a[~np.isnan(a)], shares), rtol=1e-12) and got["a"].n_rows == 29_400
+        assert np.allclose(got["b"].q, np.quantile([x for i, x in enumerate(b) if i % 7], shares))
