@@ -97,8 +97,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The heavy addresses with their counts, estimated and exact."""
-    return _heavy(spark, d).select("field_name", F.col("item").alias("address"), "n", "est", "total")
+    """The heavy addresses with their exact counts, and the values of the field."""
+    return _heavy(spark, d).select("field_name", F.col("item").alias("address"), "n", "total")
+
+
+def p7_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The heavy addresses with the sketch's counts, which are never below the exact ones."""
+    return _heavy(spark, d).select("field_name", F.col("item").alias("address"), "est", (F.col("est") >= F.col("n")).alias("covers"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -107,8 +112,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Number of ids of every document, and whether decoding them gives the text again."""
-    return bpe.roundtrip(read_table(spark, d, "documents"), "doc_id", "text", bpe.read_vocabulary(spark))
+    """Whether decoding the ids of a document gives the text again."""
+    return bpe.roundtrip(read_table(spark, d, "documents"), "doc_id", "text", bpe.read_vocabulary(spark)).select("doc_id", "same")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +132,12 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(docs, Stage(spark), common=quality.common_words(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p1_groups, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics)}
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Visible characters and lines of every document."""
+    return quality.text_statistics(read_table(spark, d, "documents"), Stage(spark)).select("doc_id", "n_chars", "n_lines")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p1_groups, p2_found, p2_verdicts, p2_percentiles, p4_found, p4_sample, p4_report, p6_found, p7_found, p7_counts, p7_estimates, p8_ids, p8_roundtrip, p9_found, p10_found, p10_statistics, p10_counts)}
 
 _ITEMS = r"""
     SELECT field_name, unnest(list_filter(list_transform(tokens, lambda x: trim(CASE
@@ -157,6 +167,21 @@ SQL = {
     SELECT report_id FROM c WHERE below * 100 > (pct_rank + 4) * n OR upto * 100 < (pct_rank - 4) * n""",
     "p4_found": f"SELECT plan_id, stratum FROM ({_REQUIRED}) WHERE required > available",
     "p4_report": f"SELECT plan_id, stratum, required, available, least(required, available) AS drawn, required - least(required, available) AS short FROM ({_REQUIRED})",
+    "p4_sample": f"""
+    WITH u AS (SELECT txid AS unit, min(stratum) AS stratum FROM (SELECT txid, CAST(CAST(is_coinjoin_like AS INT) AS VARCHAR) || '_' || CAST(CAST(is_batch_payment AS INT) AS VARCHAR) || '_' || CAST(CAST(has_op_return AS INT) AS VARCHAR) AS stratum FROM dataset) WHERE stratum IS NOT NULL AND txid IS NOT NULL GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CAST('0x' || substr(md5('42|' || unit), 1, 15) AS BIGINT), unit) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM u),
+    q AS (SELECT plan_id, stratum, available, least(required, available) AS quota FROM (SELECT plan_id, stratum, available, max(required) AS required FROM ({_REQUIRED}) GROUP BY ALL)),
+    p AS (SELECT *, CAST(coalesce(sum(quota) OVER (PARTITION BY plan_id ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST('0x' || substr(md5('42|' || plan_id), 1, 5) AS BIGINT) / 1048576.0::DOUBLE AS start FROM q)
+    SELECT plan_id, stratum, unit AS txid FROM r JOIN p USING (stratum) WHERE quota > 0
+        AND before + ((k + 1) * quota) // n + CAST(floor((((k + 1) * quota) % n) / n::DOUBLE + start) AS BIGINT) > before + (k * quota) // n + CAST(floor(((k * quota) % n) / n::DOUBLE + start) AS BIGINT)""",
+    "p7_counts": f"""
+    WITH i AS ({_ITEMS}), c AS (SELECT field_name, address, count(*) AS n FROM i GROUP BY field_name, address),
+    s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY field_name) AS BIGINT) AS total FROM c)
+    SELECT field_name, address, n, total FROM s WHERE n >= 0.006 * total""",
+    "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p10_counts": r"""
+    WITH t AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '[\r\n\x{0b}\x{0c}\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '[\s\x{0b}\x{85}\x{1c}-\x{1f}\p{Z}]', '', 'g')) AS lines FROM documents)
+    SELECT doc_id, coalesce(CAST(list_sum(list_transform(lines, lambda x: length(x))) AS BIGINT), 0) AS n_chars, len(list_filter(lines, lambda x: x <> '')) AS n_lines FROM t""",
     "p6_found": r"""
     WITH RECURSIVE k AS (SELECT DISTINCT CASE WHEN regexp_matches(a, '^[0-9a-fA-F]{64}$') THEN lower(a) ELSE a END AS a, CASE WHEN regexp_matches(b, '^[0-9a-fA-F]{64}$') THEN lower(b) ELSE b END AS b
         FROM (SELECT regexp_replace(left_key, '^\s+|\s+$', '', 'g') AS a, regexp_replace(right_key, '^\s+|\s+$', '', 'g') AS b FROM match_pairs) WHERE a <> '' AND b <> ''),

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlens.functions.columns import md5_int
 from ledgerlens.operators.ranks import numbered
 from ledgerlens.sources.tables import Stage
 
@@ -43,7 +44,7 @@ class StratifiedDraw:
 
     def __init__(self, units: DataFrame, targets: DataFrame, stage: Stage, seed: int = 42):
         unique = units.where(F.col("stratum").isNotNull() & F.col("unit").isNotNull()).groupBy("unit").agg(F.min("stratum").alias("stratum"))
-        placed = numbered(unique.withColumn("_h", F.xxhash64(F.lit(seed), "unit")), ["_h", "unit"], stage, group="stratum")
+        placed = numbered(unique.withColumn("_h", md5_int(F.lit(str(seed)), F.col("unit"), digits=15)), ["_h", "unit"], stage, group="stratum")
         self.placed = stage.put(placed.select("unit", "stratum", "rank"))
         sizes = self.placed.groupBy("stratum").agg(F.count("*").alias("available"))
         asked = targets.where(F.col("plan_id").isNotNull() & F.col("stratum").isNotNull()).groupBy("plan_id", "stratum").agg(F.max(required_rows()).alias("required"))
@@ -51,7 +52,7 @@ class StratifiedDraw:
         # sums of earlier strata; whole, as quotas are. One random start a plan.
         before = W.partitionBy("plan_id").orderBy("stratum").rowsBetween(W.unboundedPreceding, -1)
         self.plan = stage.put(
-            quota.withColumn("before", F.coalesce(F.sum("quota").over(before), F.lit(0))).withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "plan_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+            quota.withColumn("before", F.coalesce(F.sum("quota").over(before), F.lit(0))).withColumn("start", md5_int(F.lit(str(seed)), F.col("plan_id").cast("string"), digits=5) / F.lit(float(16**5)))
         )
 
     def sample(self) -> DataFrame:
