@@ -262,3 +262,53 @@ def tree_scores(flags: np.ndarray, labels: np.ndarray, seed: int, test: float =
 
 def blended(seeds: np.ndarray, guided: np.ndarray, share: float) -> np.ndarray:
     return blend(seeds, guided, share)
+
+
+def layout(x: np.ndarray, dims: int = 2, neighbours: int = 30, min_dist: float = 0.1, epochs: int = 200, seed: int = 42) -> np.ndarray:
+    """A neighbour-graph layout of a bounded sample (uniform manifold approximation): fuzzy weights that sum to log2 of the neighbours around every
+    row, joined by probabilistic union, then attraction along edges and repulsion from random rows, by gradient steps on all edges at once.
+    """
+    n = len(x)
+    k = min(neighbours, n - 1)
+    if k < 1:
+        return np.zeros((n, dims))
+    d = np.sqrt(squared(x, x))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    dist = np.take_along_axis(d, near, axis=1)
+    beyond = np.maximum(dist - dist[:, :1], 0)
+    lo, hi = np.full(n, 1e-9), np.full(n, max(float(beyond.max()), 1e-9) * 8 + 1e-9)
+    for _ in range(60):  # the width at which a row's weights sum to log2(k)
+        mid = (lo + hi) / 2
+        much = np.exp(-beyond / mid[:, None]).sum(axis=1) > np.log2(max(k, 2))
+        hi, lo = np.where(much, mid, hi), np.where(much, lo, mid)
+    w = np.zeros((n, n))
+    np.put_along_axis(w, near, np.exp(-beyond / hi[:, None]), axis=1)
+    w = w + w.T - w * w.T
+    i, j = np.nonzero(np.triu(w))
+    weight = w[i, j]
+    # 1 / (1 + a r^2b) close to 1 up to min_dist and exp(min_dist - r) from there
+    r = np.linspace(1e-3, 3, 300)
+    want = np.where(r <= min_dist, 1.0, np.exp(min_dist - r))
+    grid = [(a, b) for a in np.linspace(0.5, 3, 26) for b in np.linspace(0.6, 1.4, 17)]
+    a, b = min(grid, key=lambda p: float(((1 / (1 + p[0] * r ** (2 * p[1])) - want) ** 2).sum()))
+    rng = np.random.default_rng(seed)
+    y = rng.uniform(-10, 10, (n, dims))
+    share = weight / weight.max()
+    for e in range(epochs):
+        rate = 1.0 - e / epochs
+        on = rng.random(len(i)) < share
+        p, q = i[on], j[on]
+        gap = y[p] - y[q]
+        r2 = (gap * gap).sum(axis=1) + 1e-9
+        pull = np.clip((-2 * a * b * r2 ** (b - 1) / (1 + a * r2**b))[:, None] * gap, -4, 4)
+        far = rng.integers(0, n, (len(p), 5))
+        apart = y[p][:, None] - y[far]
+        f2 = (apart * apart).sum(axis=2) + 1e-3
+        push = np.clip((2 * b / (f2 * (1 + a * f2**b)))[:, :, None] * apart, -4, 4) * (far != p[:, None])[:, :, None]
+        step = np.zeros_like(y)
+        np.add.at(step, p, pull + push.sum(axis=1))
+        np.add.at(step, q, -pull)
+        busy = np.maximum(np.bincount(np.concatenate([p, q]), minlength=n), 1)[:, None]
+        y = y + rate * np.clip(step / np.sqrt(busy), -4, 4)
+    return y - y.mean(axis=0)

@@ -10,8 +10,6 @@ import math
 
 import numpy as np
 
-from ledgerlens.operators.neighbours import distances
-
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
     """The column assigned to each row at least total cost (square; shortest augmenting paths with potentials)."""
@@ -320,18 +318,3 @@ def density_clusters(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarr
             out[c[2]] = k
             k += 1
     return out
-
-
-def silhouette_of(x: np.ndarray, labels: np.ndarray) -> float:
-    """Of a bounded sample; members of singletons count 0."""
-    names, code = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return 0.0
-    onehot = np.eye(len(names))[code]
-    sums, size = distances(x, x) @ onehot, onehot.sum(0)
-    own = size[code]
-    a = sums[np.arange(len(x)), code] / np.maximum(own - 1, 1)
-    other = sums / size
-    other[np.arange(len(x)), code] = np.inf
-    b = other.min(axis=1)
-    return float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())

@@ -9,6 +9,7 @@ from ledgerlens.operators.packed import explode_packed
 from ledgerlens.operators.skew import compress_values, key_profile, top_record
 from ledgerlens.sources.tables import Stage, read_table
 
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 128  # ids up to so many bytes are broadcast
 PACKED_FIELDS = ["input_addresses", "output_addresses", "input_script_types", "output_script_types"]
 
 
@@ -40,6 +41,8 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The values of the packed fields of the audited transactions."""
     asked = read_table(spark, d, "audit_txids").select("txid").distinct()
+    if asked.count() * ID_BYTES <= BROADCAST_BYTES:  # else both sides are shuffled
+        asked = F.broadcast(asked)
     rows = read_table(spark, d, "dataset").select("txid", *PACKED_FIELDS).join(asked, "txid", "left_semi")
     return explode_packed(rows, ["txid"], PACKED_FIELDS).distinct()
 

@@ -10,7 +10,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import graph, kmeans, linalg, metrics, mixture, resample, rules
+from ledgerlens.operators import bounded, graph, kmeans, linalg, metrics, mixture, resample, rules
 from ledgerlens.operators.skew import quantile_row
 from ledgerlens.operators.neighbours import k_nearest, reference_matrix
 from ledgerlens.plans.transactions import FLAGS, transactions
@@ -20,7 +20,8 @@ QUERIES, SQL = {}, {}
 K = 15  # neighbours, as surveyed
 SAMPLE = 2_000  # rows of the bounded samples that pairwise steps take; the same hash order at every scale
 COMPARED, SCORED = 10_000, 60_000  # the surveyed samples: of method comparisons, and of silhouettes
-POOL = 20_000  # rows that resamples are drawn from
+POOL = 200_000  # rows that resamples are drawn from, as surveyed
+METRICS = ["silhouette", "davies_bouldin", "calinski_harabasz"]
 INFORMED = 5_000  # the survey's bound of the neighbour estimator on the driver
 
 
@@ -286,22 +287,20 @@ def spectral(spark, d):
     return spark.createDataFrame(pd.DataFrame({"vec_id": np.repeat(ids, 10), "dim": np.tile(np.arange(10, dtype=np.int32), len(ids)), "val": v.ravel()}))
 
 
-def moments(df: DataFrame, centres: dict, label: str | None = None, vector: str = "embedding") -> np.ndarray:
-    """Sum over all rows of the products of all pairs of coordinates, less the centre of the row's label (that of None without one). Rows
-    whose label has no centre are left out. Partial sums of a partition are d x d."""
-    dim = len(next(iter(centres.values())))
-    shared = df.sparkSession.sparkContext.broadcast(centres)
+def moments(df: DataFrame, mean: np.ndarray, vector: str = "embedding") -> np.ndarray:
+    """Sum over all rows of the products of all pairs of coordinates less their mean. Partial sums of a partition are d x d."""
+    dim = len(mean)
+    shared = df.sparkSession.sparkContext.broadcast(mean)
 
     def partial(batches):
         total = np.zeros((dim, dim))
         for pdf in batches:
-            for name, own in pdf.groupby("label", dropna=False) if label else [(None, pdf)]:
-                if len(own) and name in shared.value:
-                    x = np.stack(own["x"].to_numpy()) - shared.value[name]
-                    total += x.T @ x
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()) - shared.value
+                total += x.T @ x
         yield pd.DataFrame({"i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim), "s": total.ravel()})
 
-    rows = df.where(F.col(vector).isNotNull()).select((F.col(label) if label else F.lit(0)).alias("label"), F.col(vector).alias("x"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("x"))
     out = np.zeros((dim, dim))
     for r in rows.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # d x d
         out[r.i, r.j] = r.s
@@ -322,6 +321,18 @@ def scree(spark, d):
     return spark.createDataFrame([(i + 1, float(x), float(x - values[i - 1]) if i else 0.0) for i, x in enumerate(values)], "dim int, eigenvalue double, gap double")
 
 
+@query()
+def layout_2d(spark, d):
+    """(vec_id, x, y): a neighbour-graph layout of a sample, for display; other rows lie at the mean of their nearest sampled rows."""
+    stage = Stage(spark)
+    s = stage.put(sample(spark, d).select("vec_id", "embedding"))
+    ids, x = reference_matrix(s, "vec_id", "embedding")
+    placed = stage.put(spark.createDataFrame(pd.DataFrame({"vec_id": ids, "x": (y := bounded.layout(x))[:, 0], "y": y[:, 1]})))
+    rest = vectors(spark, d).select("vec_id", "embedding").join(F.broadcast(placed.select("vec_id")), "vec_id", "left_anti")  # of SAMPLE rows
+    near = k_nearest(rest, s, K).join(F.broadcast(placed.withColumnRenamed("vec_id", "dst")), "dst")
+    return placed.unionByName(near.groupBy(F.col("src").alias("vec_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+
+
 @query()
 def pca_whiten(spark, d):
     """Whitened coordinates of the whole vector: moments are aggregated over all rows, the d x d step runs on the driver."""
@@ -329,7 +340,7 @@ def pca_whiten(spark, d):
     dim = v.agg(F.max(F.size("embedding"))).first()[0]
     row = v.agg(F.count("embedding").alias("n"), *[F.avg(F.col("embedding")[i]).alias(f"m{i}") for i in range(dim)]).first()
     mean = np.array([row[f"m{i}"] for i in range(dim)])
-    shared = spark.sparkContext.broadcast(linalg.whiten_from_moments(mean, moments(v, {None: mean}) / max(1, row["n"] - 1)))
+    shared = spark.sparkContext.broadcast(linalg.whiten_from_moments(mean, moments(v, mean) / max(1, row["n"] - 1)))
 
     def whiten(batches):
         mean, m = shared.value
@@ -340,53 +351,46 @@ def pca_whiten(spark, d):
     return v.select("vec_id", "embedding").mapInPandas(whiten, "vec_id bigint, whitened array<double>")
 
 
-def class_scatter(df: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """(within, between) of the whole vectors, as ``scatter_matrices`` with weights of 1."""
-    sizes = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().where("count >= 2").collect()}  # a row per class
-    names, centres = kmeans.centre_matrix(df.where(F.col(label).isin(*sizes)), label)
-    n = np.array([sizes[x] for x in names], float)
-    apart = centres - n @ centres / n.sum()
-    return moments(df, dict(zip(names, centres)), label), (apart * n[:, None]).T @ apart
+@query("SELECT CAST(i AS INT) AS dim, 0.0::DOUBLE AS off_mean, 1.0::DOUBLE AS variance FROM range(64) t(i)")
+def whitened_moments(spark, d):
+    """Mean and variance of every whitened coordinate, over all rows."""
+    long = pca_whiten(spark, d).select(F.posexplode("whitened").alias("dim", "x"))
+    return long.groupBy("dim").agg(F.round(F.abs(F.avg("x")), 6).alias("off_mean"), F.round(F.var_samp("x"), 6).alias("variance"))
 
 
-def _scored(spark, d, n: int, keep: int):
-    """(run, silhouette): resampled silhouettes, each of one task."""
-    pool = sample(spark, d, POOL)
-    ids, x = reference_matrix(pool, "vec_id", "embedding")
-    labels = {r.vec_id: r.label for r in pool.select("vec_id", "label").collect()}
-    y = np.array([labels[i] for i in ids])
-    return spark.sparkContext.broadcast((x, y)), spark.range(n, numPartitions=min(n, 100))
+def _pool(spark, d, n: int):
+    """Vectors and labels that resamples are drawn from, and one row a run."""
+    rows = sample(spark, d, POOL).where("label is not null").select("embedding", "label").toArrow()
+    x = np.asarray(rows.column(0).combine_chunks().flatten(), np.float64).reshape(rows.num_rows, -1)
+    return spark.sparkContext.broadcast((x, np.unique(rows.column(1).to_pylist(), return_inverse=True)[1])), spark.range(n, numPartitions=min(n, 100))
 
 
 @query()
 def bootstrap_ci(spark, d, runs: int = 200, size: int = 5_000):
-    """Mean and 95 % interval of the silhouette over bootstrap samples."""
-    shared, it = _scored(spark, d, runs, size)
+    """Mean and 95 % interval of the three metrics over bootstrap samples."""
+    shared, it = _pool(spark, d, runs)
 
     def run(batches):
         x, y = shared.value
         for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                at = np.random.default_rng(1000 + i).choice(len(x), min(size, len(x)))
-                out.append(linalg.silhouette_of(x[at], y[at]))
-            yield pd.DataFrame({"run": pdf["id"], "silhouette": out})
+            draws = [np.random.default_rng(1000 + i).choice(len(x), min(size, len(x))) for i in pdf["id"]]
+            yield pd.DataFrame([bounded.scores(x[at], y[at]) for at in draws], columns=METRICS)
 
-    s = it.mapInPandas(run, "run bigint, silhouette double")
-    return s.agg(F.lit("silhouette").alias("metric"), F.avg("silhouette").alias("mean"), F.percentile("silhouette", 0.025).alias("ci_low"), F.percentile("silhouette", 0.975).alias("ci_high"), F.count("*").cast("int").alias("n_iterations"))
+    s = it.mapInPandas(run, ", ".join(f"{m} double" for m in METRICS)).unpivot([], METRICS, "metric", "value")
+    return s.groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high"), F.count("*").cast("int").alias("n_iterations"))
 
 
 @query()
 def permutation_p(spark, d, runs: int = 300, size: int = 5_000):
     """Share of label permutations whose silhouette reaches the observed one."""
-    shared, it = _scored(spark, d, runs + 1, size)
+    shared, it = _pool(spark, d, runs + 1)
 
     def run(batches):
         x, y = shared.value
         at = np.random.default_rng(0).permutation(len(x))[:size]  # the pool is in key order
         x, y = x[at], y[at]
         for pdf in batches:
-            yield pd.DataFrame({"run": pdf["id"], "silhouette": [linalg.silhouette_of(x, y if i == 0 else np.random.default_rng(i).permutation(y)) for i in pdf["id"]]})
+            yield pd.DataFrame({"run": pdf["id"], "silhouette": [bounded.scores(x, y if i == 0 else np.random.default_rng(i).permutation(y))["silhouette"] for i in pdf["id"]]})
 
     s = it.mapInPandas(run, "run bigint, silhouette double")
     obs = s.where("run = 0").select(F.col("silhouette").alias("observed"))

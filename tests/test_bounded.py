@@ -138,3 +138,12 @@ def test_anchor_graph_against_loops(spark):
     for f in range(2):
         g = c[:, f] - (w.sum(1) @ c[:, f]) / w.sum()
         assert np.isclose(scores[f], g @ (np.diag(w.sum(1)) - w) @ g / (w.sum(1) @ g**2), rtol=1e-4)
+
+
+def test_layout_keeps_clusters_together(blobs):
+    x, y = blobs
+    z = bounded.layout(x, neighbours=12)
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert (y[d.argmin(axis=1)] == y).mean() > 0.95
+    assert bounded.layout(x[:1]).shape == (1, 2)

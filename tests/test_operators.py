@@ -103,7 +103,7 @@ def test_graphs_and_propagation_take_all_rows(spark, tmp_path):
     x = np.random.default_rng(5).normal(size=(n, 8))
     spark.createDataFrame([(i, v.tolist(), f"c{i % 3}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     d = f"file://{tmp_path}"
-    assert vector_queries.knn_graph(spark, d).groupBy("src").count().where("count = 5").count() == n
+    assert vector_queries.knn_graph(spark, d).groupBy("src").count().where(f"count = {vector_queries.K}").count() == n
     assert vector_queries.normalised_laplacian(spark, d).where("src = dst").count() == n
     refs = vector_queries.vectors(spark, d).where(resample.split_of("vec_id", {"ref": 0.2, "rest": 0.8}, 7) == "ref").count()
     assert vector_queries.nearest_propagation(spark, d).count() == n - refs
@@ -127,7 +127,10 @@ def test_whitening_and_scatter_take_the_whole_vector(spark, tmp_path):
     white = np.array([r.whitened for r in vector_queries.pca_whiten(spark, d).collect()])
     assert white.shape == (300, 12) and np.allclose(np.cov(white.T), np.eye(12))
     v = vector_queries.vectors(spark, d)
-    within, between = vector_queries.class_scatter(v, "label")
+    y = np.arange(300) % 3
+    means = np.array([x[y == c].mean(0) for c in range(3)])
+    within = (x - means[y]).T @ (x - means[y])
+    between = sum(100 * np.outer(m - x.mean(0), m - x.mean(0)) for m in means)
     for r in vector_queries.scatter_matrices(v.withColumn("wt", F.lit(1.0)), "label", "wt", 12).collect():
         assert math.isclose(within[r.i, r.j], r.within, abs_tol=1e-6) and math.isclose(between[r.i, r.j], r.between, abs_tol=1e-6)
 
@@ -143,7 +146,9 @@ def test_resamples_are_of_the_surveyed_number(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(40, 4)) + np.arange(40)[:, None] % 2 * 9
     spark.createDataFrame([(i, v.tolist(), f"c{i % 2}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     d = f"file://{tmp_path}"
-    assert vector_queries.bootstrap_ci(spark, d).first().n_iterations == 200
+    got = {r.metric: r for r in vector_queries.bootstrap_ci(spark, d).collect()}
+    assert set(got) == {"silhouette", "davies_bouldin", "calinski_harabasz"}
+    assert all(r.n_iterations == 200 and r.ci_low <= r["mean"] <= r.ci_high for r in got.values())
     got = vector_queries.permutation_p(spark, d).first()
     assert got.n_permutations == 300 and got.p_value < 0.01 and got.observed > 0.5
 
