@@ -3,9 +3,9 @@
 The component of the highest-degree vertex is peeled off by frontier breadth-first joins and anti-joined
 away; small components are labelled by minimum propagation. Minimum propagation works by contraction: each
 vertex hooks to the neighbour of least priority in its closed neighbourhood, the graph of the hooks'
-targets replaces the graph, and priorities are redrawn each round, so that the number of rounds is logarithmic
-even for long chains. It goes on until no edge is left. A peeled component that isn't exhausted within ``bfs_rounds`` is contracted to
-one vertex and left to the propagation, so the bound costs no links.
+targets (two hops on) replaces the graph, and priorities are redrawn each round, so that the number of rounds is logarithmic
+even for long chains. It goes on until no edge is left. A peeled component that isn't exhausted within ``bfs_rounds``, or whose frontier has
+become a trickle, is contracted to one vertex and left to the propagation, so neither bound costs links.
 
 Hot vertices: what is peeled maps to its hub by a literal, without a join. In any other lookup by vertex the keys that hold more than a
 thousandth of the rows (at most 1,000 of them for either end, so a bounded broadcast) are looked up by broadcast, the others by shuffle.
@@ -31,6 +31,7 @@ def record_key(col: Column) -> Column:
     return F.when(key.rlike("^[0-9a-fA-F]{64}$"), F.lower(key)).when(key != "", key)
 
 
+SLOW = 1_000  # breadth-first rounds go on while they reach one vertex in so many edges; propagation is faster on long thin parts
 HOT, LEAST = 1_000, 10_000  # a key is hot that holds more than one in HOT of all rows, and more than LEAST of them
 
 
@@ -60,6 +61,7 @@ class Components:
     def peel(self, edges: DataFrame) -> tuple[int | None, DataFrame | None, DataFrame]:
         """The hub, (v) of the vertices reached from it, itself included, and the edges left; edges that leave a part only partly
         reached start at the hub."""
+        total = edges.count()
         degrees = self._both(edges).groupBy("u").agg(F.count("*").alias("d"))
         top = degrees.orderBy(F.desc("d"), "u").first()
         if top is None:
@@ -74,10 +76,13 @@ class Components:
         for _ in range(self.bfs_rounds - 1):
             new = both.join(frontier, both.u == frontier.x, "left_semi").select(F.col("v").alias("x")).distinct().join(seen, "x", "left_anti")
             frontier = self.stage.put(new)
-            if frontier.isEmpty():
+            reached = frontier.count()
+            if not reached:
                 done = True
                 break
             seen = seen.unionByName(frontier)
+            if reached * SLOW < total:
+                break
         both.unpersist()
         seen = self.stage.put(seen)
         at = edges.where((F.col("u") != hub) & (F.col("v") != hub)) if done else edges
@@ -96,6 +101,9 @@ class Components:
             turn = F.lit(self.rounds)
             near = self._both(edges).groupBy("u").agg(F.min(F.struct(F.xxhash64(turn, "v").alias("p"), F.col("v").alias("t"))).alias("m"))
             hook = stage.put(near.select(F.col("u").alias("v"), F.when(F.struct(F.xxhash64(turn, "u").alias("p"), F.col("u").alias("t")) < F.col("m"), F.col("u")).otherwise(F.col("m.t")).alias("to")))
+            # a target's own target, of the same component and nearer to its least vertex
+            onward = hook.select(F.col("v").alias("to"), F.col("to").alias("next"))
+            hook = stage.put(look_up(hook, "to", onward, stage, 2 * left, "left").select("v", F.coalesce("next", "to").alias("to")))
             steps.append((hook, 2 * left))
             moved = look_up(edges, "u", hook.select(F.col("v").alias("u"), F.col("to").alias("tu")), stage, left)
             moved = moved if left <= LEAST else stage.put(moved)  # its keys are counted
