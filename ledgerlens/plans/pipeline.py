@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlens.operators import kmeans, linalg, manifest, metrics, report, resample, rules, scaling, zeta
+from ledgerlens.operators import bounded, kmeans, linalg, manifest, metrics, report, resample, rules, scaling, zeta
 from ledgerlens.plans.transactions import AMOUNTS, COUNTS, FLAGS, transactions
 from ledgerlens.sources.tables import Stage, read_table
 
-FIT_ROWS = 20_000  # of the bounded samples that models are fitted on
 CLUSTERS = 30
 SEED_MIN_ROWS, SEED_ROWS = 500, 100_000  # of a rule family: the least for a seed, and the sample that its seeds are searched on
 
@@ -35,7 +34,7 @@ def feature_frame(spark: SparkSession, d: str, stage: Stage, with_raw: bool = Fa
     return stage.put(weighed.select("_rid", "profile", F.array(*columns).alias("x"), *(["raw"] if with_raw else []), *[F.col(f"raw_{c}").cast("double").alias(c) for c in FLAGS]))
 
 
-def fit_rows(frame: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def fit_rows(frame: DataFrame, rows: int) -> DataFrame:
     """A sample of at most ``rows`` rows in hash order."""
     return frame.orderBy(resample.hash_key("_rid", 42), "_rid").limit(rows)
 
@@ -60,10 +59,9 @@ def seeded_labels(frame: DataFrame, stage: Stage, k: int = CLUSTERS, iterations:
     return kmeans.assign(frame, centres, "_rid", "x")
 
 
-def anomaly_scores(frame: DataFrame, trees: int = 100) -> DataFrame:
+def anomaly_scores(frame: DataFrame, trees: int = 200, rows: int = 200_000) -> DataFrame:
     """(_rid, anomaly_score): isolation scores of all rows from trees grown on a bounded sample."""
-    sample = np.array([r.x for r in fit_rows(frame, 5_000).select("x").collect()])
-    forest = frame.sparkSession.sparkContext.broadcast(linalg.IsolationForest(sample, trees))
+    forest = frame.sparkSession.sparkContext.broadcast(linalg.IsolationForest(bounded.matrix(fit_rows(frame, rows), "x"), trees))
 
     def score(batches):
         for pdf in batches:

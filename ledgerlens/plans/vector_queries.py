@@ -260,8 +260,7 @@ def gmm_diag(spark, d):
 @query()
 def iforest_scores(spark, d):
     """Isolation scores of all rows; trees are grown on a bounded sample."""
-    _, x = reference_matrix(sample(spark, d), "vec_id", "embedding")
-    forest = spark.sparkContext.broadcast(linalg.IsolationForest(x, 100))
+    forest = spark.sparkContext.broadcast(linalg.IsolationForest(bounded.matrix(sample(spark, d, POOL), "embedding"), 200))
 
     def score(batches):
         for pdf in batches:

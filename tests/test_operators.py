@@ -110,7 +110,7 @@ def test_graphs_and_propagation_take_all_rows(spark, tmp_path):
 
 
 def test_small_families_of_large_tables_get_seeds(spark, stage):
-    n, rare = 30_000, 600  # more rows than FIT_ROWS; the rare family has 500 rows of all, but not of a sample
+    n, rare = 30_000, 600  # the rare family has 500 rows of all, but not of a sample
     profile = F.when(F.col("id") % (n // rare) == 0, "Rare").otherwise("Common")
     x = F.when(profile == "Rare", F.array(F.lit(6.0), F.lit(6.0))).otherwise(F.array(F.lit(0.0), F.col("id") % 2 * 4.0))
     frame = stage.put(spark.range(n).select(F.col("id").cast("string").alias("_rid"), profile.alias("profile"), x.alias("x")))
