@@ -147,3 +147,38 @@ def test_layout_keeps_clusters_together(blobs):
     np.fill_diagonal(d, np.inf)
     assert (y[d.argmin(axis=1)] == y).mean() > 0.95
     assert bounded.layout(x[:1]).shape == (1, 2)
+
+
+def test_lloyd_measures_few_rows_and_equals_plain_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 5)) + 4 * rng.integers(0, 3, (6000, 5))
+    start = want = bounded.spread_start(x, 12, np.random.default_rng(1))
+    steps = 0
+    for _ in range(100):
+        label = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+        new = np.array([x[label == j].mean(0) if (label == j).any() else want[j] for j in range(12)])
+        done, want, steps = np.allclose(new, want, atol=1e-9), new, steps + 1
+        if done:
+            break
+    measured, kernel = [], bounded.two_nearest
+    monkeypatch.setattr(bounded, "two_nearest", lambda rows, c: measured.append(len(rows)) or kernel(rows, c))
+    assert np.allclose(bounded.lloyd(x, start, 100), want, atol=1e-10)
+    assert sum(measured) < 0.6 * steps * len(x)
+
+
+def test_starts_as_tasks_equal_starts_in_a_row(spark, blobs):
+    x, _ = blobs
+    turn = np.diag([1.0, 0.5, 2.0])
+    with bounded.Shared(spark, x) as sample:
+        plain, turned = sample.best_kmeans(5, 3, 7, (None, turn))
+    assert np.allclose(plain, bounded.best_kmeans(x, 5, 3, seed=7)) and np.allclose(turned, bounded.best_kmeans(x @ turn, 5, 3, seed=7))
+
+
+@pytest.mark.parametrize("rows", [0, 40, 299, 300, 900])
+def test_samples_in_parts_are_the_rows_of_least_hash(spark, monkeypatch, rows):
+    import hashlib
+
+    monkeypatch.setattr(search, "PART", 16)
+    df = spark.createDataFrame([(f"r{i}", i) for i in range(300)], "_rid string, i int")
+    got = [i for t in search.first_by_hash(df, rows, 9) for i in t.column("i").to_pylist()]
+    assert got == sorted(range(300), key=lambda i: hashlib.md5(f"9|r{i}".encode()).hexdigest())[:rows]
