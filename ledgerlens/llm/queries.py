@@ -55,7 +55,7 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups by min-hash banding at one similarity, with their sizes and medoids: the method named, which finds a part of the clusters only."""
+    """Groups by all links at one Jaccard similarity, with their sizes and medoids: one threshold, which gives a part of the clusters of ``p1_found`` only."""
     points = _clusters(spark, d).points
     groups = minhash.Groups(points, list(clusters.AXES), Stage(spark), least=0.25)
     return groups.members().groupBy("group").agg(F.count("*").alias("size"), F.first("medoid").alias("medoid"))

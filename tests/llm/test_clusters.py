@@ -110,6 +110,40 @@ def test_minhash_groups_are_similar_and_whole(spark, stage):
     assert Groups(df.where("false"), ["x", "y", "z"], stage).members().count() == 0
 
 
+def test_groups_use_every_link(spark, stage):
+    """Numbers of links, components and least links of all points, with none left out: by brute force over all pairs."""
+    from ledgerlens.llm.minhash import Groups
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 8.0, (60, 3)) for c in rng.random((3, 3)) * 100] + [rng.random((60, 3)) * 200, [[-7.0, 0.0, 3.0]]])
+    levels, least = 5, 0.25
+    g = Groups(frame(spark, x).union(spark.createDataFrame([("far", float("inf"), 1.0, 1.0)], "id string, x double, y double, z double")), ["x", "y", "z"], stage, levels=levels, least=least)
+    links = stage.put(g.links())
+    g.links = lambda: links
+    width = x.max(0) - x.min(0)
+    cells = np.stack([np.floor(x / (width / 2**k) + s / 4) for k in range(levels) for s in range(4)], axis=1)
+    same = (cells[:, None] == cells[None]).all(axis=3).sum(axis=2)
+    linked = (same / (8 * levels - same) >= least) & ~np.eye(len(x), dtype=bool)
+    boxes = {r.v: [r[f"c{i}"] for i in range(3)] for r in g.places.collect()}
+    found = {}
+    for r in links.collect():
+        h = levels - 1 - r.level
+        inside = {b: {v for v, c in boxes.items() if sum((c[i] >> h) << (g.bits * i) for i in range(3)) == b} for b in (r.a, r.b)}
+        for pair in {frozenset((u, v)) for u in inside[r.a] for v in inside[r.b] if u != v}:
+            found[pair] = found.get(pair, 0) + 1
+    v = {r.id: r.v for r in g.records.collect()}
+    assert found == {frozenset((v[f"t{i:04d}"], v[f"t{j:04d}"])): 1 for i, j in zip(*np.nonzero(np.triu(linked)))}
+    label = np.arange(len(x))
+    while (new := np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])).tolist() != label.tolist():
+        label = new
+    medoid = {r.id: r.medoid for r in g.members(1).collect()}
+    assert len(medoid) == linked.any(axis=1).sum()
+    for c in np.unique(label[linked.any(axis=1)]):
+        own = np.flatnonzero(label == c)
+        i = max(own, key=lambda i: (linked[i].sum(), v[f"t{i:04d}"]))
+        assert {medoid[f"t{j:04d}"] for j in own if linked[i, j] or i == j} == {v[f"t{i:04d}"]}
+
+
 def test_a_level_below_the_floor_raises(spark, stage):
     x = np.stack([1.0 + np.arange(40) * 2.0**-52, np.zeros(40), np.zeros(40)], axis=1)
     x = np.concatenate([x, [[1e6, 1e6, 1e6]]])
