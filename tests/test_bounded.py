@@ -182,3 +182,18 @@ def test_samples_in_parts_are_the_rows_of_least_hash(spark, monkeypatch, rows):
     df = spark.createDataFrame([(f"r{i}", i) for i in range(300)], "_rid string, i int")
     got = [i for t in search.first_by_hash(df, rows, 9) for i in t.column("i").to_pylist()]
     assert got == sorted(range(300), key=lambda i: hashlib.md5(f"9|r{i}".encode()).hexdigest())[:rows]
+
+
+def test_nearest_centre_is_that_of_differences(monkeypatch):
+    """Labels and distances are bit for bit those of measuring every row to every centre, which only tied rows and those without a finite one need."""
+    from ledgerlens.operators import kmeans
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 3, (2_000, 5)), rng.integers(-2, 3, (500, 5)), [[np.inf, 0, 0, 0, 0], [np.nan, 0, 0, 0, 0]], rng.normal(0, 1, (50, 5)) + 1e6])
+    centres = np.concatenate([rng.integers(-2, 3, (12, 5)).astype(float), rng.normal(0, 3, (8, 5)), np.zeros((2, 5))])
+    measured, by_differences = [], kmeans.distances
+    monkeypatch.setattr(kmeans, "distances", lambda q, r: measured.append(len(q)) or by_differences(q, r))
+    at, dist = kmeans.nearest_centre(x, centres)
+    d = by_differences(x, centres)
+    assert (at == d.argmin(axis=1)).all() and np.array_equal(dist, d.min(axis=1), equal_nan=True)
+    assert sum(measured) < 1_000
